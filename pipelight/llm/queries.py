@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from . import decontamination
+from .decontamination import op7_benchmark_decontamination
+from .line_dedup import op4_line_dedup
+from .minhash_dedup import op10_minhash_near_dedup
 from .substring_dedup import op8_substring_dedup
 from .suffix_dedup import op5_suffix_array_dedup
 
 QUERIES = {
+    "op4_line_dedup": op4_line_dedup,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_substring_dedup": op8_substring_dedup,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_benchmark_decontamination": decontamination.ORACLE}

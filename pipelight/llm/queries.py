@@ -6,10 +6,12 @@ from . import decontamination
 from .decontamination import op7_benchmark_decontamination
 from .line_dedup import op4_line_dedup
 from .minhash_dedup import op10_minhash_near_dedup
+from .packing import op3_best_fit_packing
 from .substring_dedup import op8_substring_dedup
 from .suffix_dedup import op5_suffix_array_dedup
 
 QUERIES = {
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_line_dedup": op4_line_dedup,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,18 +48,19 @@ def small(df: DataFrame, rows: int, bytes_per_row: int) -> DataFrame:
     return F.broadcast(df) if rows * bytes_per_row <= BROADCAST_LIMIT_BYTES else df
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(key, id, text) with a unique, non-null long key whose order is the order of the ids.
+def keyed(docs: DataFrame, id_col: str, text_col: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(key, id, text[, rest]) with a unique, non-null long key whose order is the order of the ids.
 
     Whole ids that are unique and not null are their own keys.  Otherwise rows that repeat both id
     and text become one, rows are sorted by id (null first) and text, and the key is their rank.
-    Null texts become empty.
+    Null texts become empty.  rest is a struct of the columns named in keep, if there are any.
     """
-    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rest = [F.struct(*(F.col(f"`{c}`") for c in keep)).alias("rest")] if keep else []
+    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *rest)
+    names = [c for c in own.columns if c != "id"]
     if dict(own.dtypes)["id"] in ("bigint", "int", "smallint", "tinyint"):
         n, present = own.agg(F.count(F.lit(1)), F.count("id")).first()
         if n == present and not own.groupBy("id").count().where("count > 1").limit(1).count():
-            return own.select(F.col("id").cast("long").alias("key"), "id", "text")
-    ranked = own.distinct().sort("id", "text").withColumn("key", F.monotonically_increasing_id())
-    return cut(ranked.select("key", "id", "text"), "keyed")
-
+            return own.select(F.col("id").cast("long").alias("key"), "id", *names)
+    ranked = own.dropDuplicates(["id", "text"]).sort("id", "text").withColumn("key", F.monotonically_increasing_id())
+    return cut(ranked.select("key", "id", *names), "keyed")

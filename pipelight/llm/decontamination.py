@@ -15,6 +15,8 @@ gives an empty result and an empty benchmark leaves every document clean.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,9 +107,9 @@ def proximity_matches(docs: DataFrame, terms: list[str], slop: int, id_col: str
     return found.groupBy("id", "start").agg(F.min("end").alias("end")).select(F.col("id").alias(id_col), "start", "end")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(id, text, n_words, n_hit, item_ids, contaminated) for each document."""
-    own = keyed(docs, id_col, text_col)
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, keep: Sequence[str] = ()) -> DataFrame:
+    """(id, text, n_words, n_hit, item_ids, contaminated[, rest]) for each document."""
+    own = keyed(docs, id_col, text_col, keep)
     tokens = own.select("key", "id", words_of(F.col("text")).alias("words"))
     matches = cut(phrase_matches(tokens.select("key", "words"), items, item_col, item_text_col, window), "matches")
     hits = matches.select("key", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("place")).distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n_hit"))
@@ -115,10 +117,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     found = cut(hits.join(named, "key"), "hits")
     n, n_items = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("item_ids")), F.lit(0))).first()
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
+    kept = ["rest"] if keep else []
     return (
-        own.select("key", "id", "text", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+        own.select("key", "id", "text", *kept, F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
         .join(small(found, 1, 48 * n + 24 * n_items), "key", "left")
-        .select(F.col("id").alias(id_col), "text", "n_words", n_hit.alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
+        .select(F.col("id").alias(id_col), "text", "n_words", n_hit.alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), *kept)
     )
 
 

@@ -12,6 +12,8 @@ text are one document; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -150,20 +152,20 @@ def repeated_lines(own: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(texts, pa.binary())], names=["id", "text"])
 
     texts = cut(own.join(small(places, n, 48), "key").select(F.col("text").cast("binary").alias("text"), "lines").mapInArrow(fetch, "id long, text binary"), "texts")
-    classes = cut(connected_components(linked(met, verifier(texts, n, jaccard), threshold)), "classes")
+    classes = cut(connected_components(linked(met, verifier(texts, jaccard), threshold)), "classes")
     members = classes.join(wanted, "id")
     first = members.groupBy("component").agg(F.min("first").alias("first"))
     similar = members.select("id", "component").join(first, "component")
     return cut(lines.select("id", F.col("first").alias("own")).join(similar, "id", "left").select("id", F.coalesce("first", "own").alias("first"), F.coalesce("component", "id").alias("component")), "first")
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(id, text, n_lines, n_removed, kept) for each document; kept: its text without removed lines.
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keep: Sequence[str] = ()) -> DataFrame:
+    """(id, text, n_lines, n_removed, kept[, rest]) for each document; kept: its text without removed lines.
 
     A line is removed if it isn't the first one, in the order of document ids and places, among the
     lines it is linked to by similarities of at least threshold.
     """
-    own = keyed(docs, id_col, text_col)
+    own = keyed(docs, id_col, text_col, keep)
     first = repeated_lines(own, threshold)
 
     def occurrences(batches):
@@ -186,7 +188,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stays = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "gone"), lambda i: F.element_at(parts, i + 1))
     n_removed = F.coalesce(F.size("gone"), F.lit(0))
     return joined.select(
-        F.col("id").alias(id_col), "text", F.when(F.col("text") == "", 0).otherwise(F.size(parts)).cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(n_removed).cast("long").alias("n_removed"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.concat_ws("\n", stays)).alias("kept")
+        F.col("id").alias(id_col), "text", F.when(F.col("text") == "", 0).otherwise(F.size(parts)).cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(n_removed).cast("long").alias("n_removed"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.concat_ws("\n", stays)).alias("kept"), *(["rest"] if keep else [])
     )
 
 

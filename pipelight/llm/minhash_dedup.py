@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -129,7 +130,7 @@ def _count(text: bytes) -> Counter:
     return Counter(tuple(words[i : i + SHINGLE]) for i in range(max(len(words) - SHINGLE + 1, min(1, len(words)))))
 
 
-def verifier(texts: DataFrame, n_texts: int, similarity, wanted_only: bool = True):
+def verifier(texts: DataFrame, similarity):
     """pairs (a, b) -> (a, b, sim) with the texts (id, text) of both sides."""
 
     def compare(batches):
@@ -145,30 +146,22 @@ def verifier(texts: DataFrame, n_texts: int, similarity, wanted_only: bool = Tru
     return verify
 
 
-def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(id, text, class_id, kept): class_id is the least id among the documents linked to this one.
+def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keep: Sequence[str] = ()) -> DataFrame:
+    """(id, text, class_id, kept[, rest]): class_id is the least id among the documents linked to this one.
 
     Documents of equal words are one class member from the start; similar ones are linked if their
     weighted Jaccard similarity is at least threshold.  kept marks one document of each class.
     """
-    own = keyed(docs, id_col, text_col)
+    own = keyed(docs, id_col, text_col, keep)
     classes = _classes(own, threshold)
-    ids = own.select(F.col("key").alias("least"), F.col("id").alias("class_id"))
     n = classes.count()
-    named = classes if dict(own.dtypes)["id"] == "bigint" and _own_keys(own) else None
-    if named is not None:
-        labelled = classes.select("key", F.col("class_key").alias("class_id"), F.col("class_key").alias("least"))
-    else:
-        labelled = classes.join(ids.withColumnRenamed("least", "class_key"), "class_key").select("key", "class_id", F.col("class_key").alias("least"))
+    ids = own.select(F.col("key").alias("least"), F.col("id").alias("class_id")).join(small(classes.select(F.col("class_key").alias("least")).distinct(), n, 16), "least")
+    labelled = classes.select("key", F.col("class_key").alias("least")).join(small(ids, n, 32), "least")
     return own.join(small(labelled, n, 40), "key", "left").select(
-        F.col("id").alias(id_col), "text", F.when(F.col("least").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), (F.coalesce("least", "key") == F.col("key")).alias("kept")
+        F.col("id").alias(id_col), "text", F.when(F.col("least").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), (F.coalesce("least", "key") == F.col("key")).alias("kept"), *(["rest"] if keep else [])
     )
 
 
-def _own_keys(own: DataFrame) -> bool:
-    return not own.where(~F.col("key").eqNullSafe(F.col("id"))).limit(1).count()
-
-
 def _classes(own: DataFrame, threshold: float) -> DataFrame:
     """(key, class_key) of the documents that are alone in no class."""
     signed = cut(own.select("key", F.col("text").cast("binary").alias("text")).mapInArrow(_sign, "key long, e1 long, e2 long, n long, bands array<long>"), "signed")
@@ -182,7 +175,7 @@ def _classes(own: DataFrame, threshold: float) -> DataFrame:
     n = wanted.count()
     if n:
         texts = cut(own.join(small(wanted.withColumnRenamed("id", "key"), n, 24), "key").select(F.col("key").alias("id"), F.col("text").cast("binary").alias("text")), "texts")
-        copies = copies.unionByName(linked(met, verifier(texts, n, weighted_jaccard), threshold))
+        copies = copies.unionByName(linked(met, verifier(texts, weighted_jaccard), threshold))
     return cut(connected_components(copies).select(F.col("id").alias("key"), F.col("component").alias("class_key")), "classes")
 
 

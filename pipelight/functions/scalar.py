@@ -167,7 +167,7 @@ MATH = {
 STRING = {
     "upper": F.upper, "lower": F.lower, "trim": F.trim, "ltrim": F.ltrim, "rtrim": F.rtrim, "length": lambda x: F.length(x.cast("string")), "substring": _substring,
     "left": lambda x, n: F.left(x, col(n).cast("int")), "right": lambda x, n: F.right(x, col(n).cast("int")), "concat": lambda *x: F.concat(*(c.cast("string") for c in x)),
-    "concat_ws": lambda sep, *x: F.concat_ws(str(value_of(sep, "a separator")), *(col(c).cast("string") for c in x)), "replace": lambda x, a, b: F.replace(x, col(a), col(b)), "reverse": F.reverse,
+    "concat_ws": lambda sep, *x: F.concat_ws(str(value_of(sep, "a separator")), *map(col, x)), "replace": lambda x, a, b: F.replace(x, col(a), col(b)), "reverse": F.reverse,
     "repeat": lambda x, n: F.repeat(x, col(n).cast("int")), "locate": lambda sub, x, at=Literal(1): F.position(col(sub), x, col(at)), "instr": lambda x, sub: F.position(col(sub), x),
     "split": lambda x, d: F.split(x, _quoted(d)), "regexp": lambda x, p: F.regexp_like(x, col(p)), "regexp_replace": lambda x, p, r: F.regexp_replace(x, col(p), col(r)),
     "regexp_extract": lambda x, p, i=Literal(1): F.regexp_extract(x, value_of(p, "a pattern"), int(value_of(i, "a group"))), "like": lambda x, p: F.like(x, col(p)),

@@ -73,11 +73,11 @@ class Engine:
             return out.sparkSession.createDataFrame([(plan,)], "plan string")
         return out
 
-    def flow(self, query: Query) -> Flow:
+    def flow(self, query: Query, ordered: bool = False) -> Flow:
         first = query.commands[0]
         df = self.catalog.frame(first.args["source"])
         flow = Flow(df, [], self.catalog.time(first.args["source"]), self.catalog.text.get(first.args["source"]))
-        if _needs_order(query.commands[1:]):
+        if ordered or _needs_order(query.commands[1:]):
             flow = self.natural(flow, self.catalog.order(first.args["source"]))
         if "where" in first.args:
             flow = self.do_where(flow, condition=first.args["where"])
@@ -543,7 +543,7 @@ class Engine:
 
     def do_appendcol(self, flow: Flow, query: Query, override: bool = False) -> Flow:
         flow = self.need_order(flow)
-        sub = self.steps(flow, query.commands) if query.commands[0].name != "search" else self.flow(query)
+        sub = self.steps(flow, query.commands) if query.commands[0].name != "search" else self.flow(query, ordered=True)
         sub = self.need_order(sub)
         right = numbered(sub.df, sub.order).drop(*(c for c in sub.df.columns if c.startswith(_HIDDEN)))
         left = numbered(flow.df, flow.order)

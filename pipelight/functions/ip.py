@@ -65,15 +65,18 @@ def link_local(x):
     return _within(x, "169.254.0.0", 16) | (is_v6(x) & F.lower(x).rlike("^fe[89ab]"))
 
 
-@F.pandas_udf("boolean")
-def _cidr6(x: pd.Series, net: pd.Series) -> pd.Series:
-    def one(a, n):
-        try:
-            return ipaddress.ip_address(a) in ipaddress.ip_network(n, strict=False)
-        except (ValueError, TypeError):
-            return None
-
-    return pd.Series([one(a, n) for a, n in zip(x, net, strict=True)], dtype=object)
+def _cidr6(x: Column, net: Column) -> Column:
+    @F.pandas_udf("boolean")
+    def run(addresses: pd.Series, networks: pd.Series) -> pd.Series:
+        def one(a, n):
+            try:
+                return ipaddress.ip_address(a) in ipaddress.ip_network(n, strict=False)
+            except (ValueError, TypeError):
+                return None
+
+        return pd.Series([one(a, n) for a, n in zip(addresses, networks, strict=True)], dtype=object)
+
+    return run(x, net)
 
 
 def cidr(x, net):

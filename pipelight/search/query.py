@@ -185,7 +185,8 @@ class Compiler:
             return F.lit(False)
         tokens = self.tokens(node.field, own)
         if node.args.get("fuzziness") is not None:
-            each = [F.exists(tokens, lambda t, w=w: F.levenshtein(t, F.lit(w), fuzziness(node.args["fuzziness"], w)) >= 0) for w in terms]
+            near = lambda w: F.exists(tokens, lambda t: F.levenshtein(t, F.lit(w), fuzziness(node.args["fuzziness"], w)) >= 0)
+            each = [near(w) for w in terms]
         elif str(node.args.get("operator", "or")).lower() == "or" and node.args.get("minimum_should_match") is None:
             return F.arrays_overlap(tokens, F.array(*(F.lit(t) for t in dict.fromkeys(terms))))
         else:

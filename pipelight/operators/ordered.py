@@ -35,36 +35,43 @@ def numbered(df: DataFrame, order: list[tuple[str, bool]], name: str = ROW) -> D
     return own.join(F.broadcast(before), "__part").withColumn(name, F.col("__at") + F.col("__before")).drop("__part", "__at", "__before")
 
 
-def framed(df: DataFrame, order: list[tuple[str, bool]], columns: dict[str, Callable[[Window], Column]], back: int) -> DataFrame:
-    """columns evaluated over frames that reach at most `back` rows before a row, in the global order.
+def framed(df: DataFrame, order: list[tuple[str, bool]], columns: dict[str, Callable[[Window], Column]], back: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """columns evaluated over frames that reach at most `back` rows before a row, in the global order
+    or, with keys, within the rows of a key.
 
-    Blocks of consecutive rows get the last `back` rows of the block before them as well.
+    Blocks of consecutive rows get the last `back` rows of the block before them as well.  Rows are
+    put in the order of the keys first, so a key with very many rows takes many blocks.
     """
     size = max(BLOCK_ROWS, 4 * back)
-    rows = materialize(numbered(df, order), "numbered").withColumn("__block", F.floor(F.col(ROW) / size))
+    rows = materialize(numbered(df, [*((k, True) for k in keys), *order]), "numbered").withColumn("__block", F.floor(F.col(ROW) / size))
     reach = (F.col(ROW) % size >= size - back) if back else F.lit(False)
     dealt = rows.withColumn("__to", F.explode(F.when(reach, F.array(F.col("__block"), F.col("__block") + 1)).otherwise(F.array("__block"))))
-    window = Window.partitionBy("__to").orderBy(ROW)
+    window = Window.partitionBy("__to", *(F.col(f"`{k}`") for k in keys)).orderBy(ROW)
     for name, build in columns.items():
         dealt = dealt.withColumn(name, build(window))
     return dealt.where(F.col("__to") == F.col("__block")).drop("__to", "__block", ROW)
 
 
-def running(df: DataFrame, order: list[tuple[str, bool]], totals: dict[str, tuple[str, Column]], current: bool) -> DataFrame:
-    """Running aggregates from the first row; totals: column -> (sum, count, min or max; input).
+def running(df: DataFrame, order: list[tuple[str, bool]], totals: dict[str, tuple[str, Column]], current: bool, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Running aggregates from the first row, or from a key's first row.
 
-    Each block has a running aggregate of its own; blocks' totals, one row per block, are
-    accumulated and combined with it.
+    totals: column -> (sum, count, min or max; input).  Each block has a running aggregate of its
+    own; blocks' totals, one row for each block (and key in it), are accumulated and combined.
     """
-    rows = materialize(numbered(df, order), "numbered").withColumn("__block", F.floor(F.col(ROW) / BLOCK_ROWS))
+    rows = materialize(numbered(df, [*((k, True) for k in keys), *order]), "numbered").withColumn("__block", F.floor(F.col(ROW) / BLOCK_ROWS))
     functions = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
-    inner = Window.partitionBy("__block").orderBy(ROW).rowsBetween(Window.unboundedPreceding, 0 if current else -1)
-    outer = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = rows.groupBy("__block").agg(*(functions[kind](x).alias(f"__t_{name}") for name, (kind, x) in totals.items()))
-    blocks = blocks.select("__block", *((F.sum if kind == "count" else functions[kind])(f"__t_{name}").over(outer).alias(f"__b_{name}") for name, (kind, _) in totals.items()))
+    own = [F.col(f"`{k}`") for k in keys]
+    inner = Window.partitionBy("__block", *own).orderBy(ROW).rowsBetween(Window.unboundedPreceding, 0 if current else -1)
+    names = [f"__g{i}" for i in range(len(keys))]
+    blocks = rows.groupBy("__block", *(c.alias(n) for c, n in zip(own, names, strict=True))).agg(*(functions[kind](x).alias(f"__t_{name}") for name, (kind, x) in totals.items()))
+    outer = (Window.partitionBy(*names) if names else Window.partitionBy()).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(F.col("__block").alias("__of"), *names, *((F.sum if kind == "count" else functions[kind])(f"__t_{name}").over(outer).alias(f"__b_{name}") for name, (kind, _) in totals.items()))
     for name, (kind, x) in totals.items():
         rows = rows.withColumn(f"__r_{name}", functions[kind](x).over(inner))
-    rows = rows.join(F.broadcast(blocks), "__block")
+    on = F.col("__block") == F.col("__of")
+    for c, n in zip(own, names, strict=True):
+        on = on & c.eqNullSafe(F.col(n))
+    rows = rows.join(blocks, on)
     for name, (kind, _) in totals.items():
         a, b = F.col(f"__r_{name}"), F.col(f"__b_{name}")
         if kind in ("sum", "count"):
@@ -72,4 +79,4 @@ def running(df: DataFrame, order: list[tuple[str, bool]], totals: dict[str, tupl
         else:
             both = F.least(a, b) if kind == "min" else F.greatest(a, b)
         rows = rows.withColumn(name, both)
-    return rows.drop("__block", ROW, *(f"__{p}_{name}" for p in "rb" for name in totals))
+    return rows.drop("__block", "__of", ROW, *names, *(f"__{p}_{name}" for p in "rb" for name in totals))

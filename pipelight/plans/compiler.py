@@ -33,7 +33,10 @@ _ORDERED_AGGREGATES = frozenset("first last earliest latest".split())
 #: Fixed unit lengths in seconds; a month is 30 days and a year 365 in a span.
 _SECONDS = {"us": 1e-6, "ms": 1e-3, "s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800, "mon": 2592000, "q": 7776000, "y": 31536000}
 _SPELLED = {"sec": "s", "second": "s", "seconds": "s", "min": "m", "minute": "m", "minutes": "m", "hr": "h", "hour": "h", "hours": "h", "day": "d", "days": "d", "week": "w", "weeks": "w", "month": "mon", "months": "mon", "quarter": "q", "quarters": "q", "year": "y", "years": "y"}
-_BROADCAST_ROWS = 1_000_000
+#: Rows of a group up to which a window holds them in one task; larger groups are split.
+GROUP_ROWS = 2_000_000
+#: Columns that an eager discovery of names may find.
+MOST_COLUMNS = 1000
 
 
 @dataclass
@@ -262,7 +265,7 @@ class Engine:
             name = output or [p for p in path.replace("]", "").replace("[", ".").split(".") if p and p != "$"][-1]
             return replace(flow, df=flow.df.withColumn(name, F.get_json_object(text, scalar.jsonfn.path_of(path))))
         # all top-level keys: the keys are found by an eager query, for a plan's columns are fixed
-        keys = [r[0] for r in flow.df.select(F.explode(F.json_object_keys(text)).alias("k")).distinct().orderBy("k").limit(1000).collect()]
+        keys = self.few(flow.df.select(F.explode(F.json_object_keys(text)).alias("k")))
         parsed = F.from_json(text, "map<string,string>")
         return replace(flow, df=flow.df.withColumns({k: F.try_element_at(parsed, F.lit(k)) for k in keys}))
 
@@ -335,7 +338,7 @@ class Engine:
             inside = F.col(column).isin(*[b for b in best if b is not None]) | (F.col(column).isNull() & F.lit(None in best))
             df = df.withColumn(column, F.when(inside, F.col(column)).otherwise(otherstr)) if useother else df.where(inside)
         else:
-            best = [r[0] for r in df.select(column).distinct().orderBy(column).limit(1000).collect()]
+            best = self.few(df.select(column))
         flow = replace(flow, df=df)
         columns = [self.agg_column(a, flow).alias(n) for a, n in zip(aggs, self.named(aggs, [row, column]), strict=True)]
         if not pivot:
@@ -403,6 +406,13 @@ class Engine:
 
     # -- totals ---------------------------------------------------------------------------------
 
+    def few(self, values: DataFrame) -> list:
+        """The distinct values, which become columns; too many of them are an error, not cut off."""
+        found = [r[0] for r in values.distinct().limit(MOST_COLUMNS + 1).collect()]
+        if len(found) > MOST_COLUMNS:
+            raise QueryError(f"there are more than {MOST_COLUMNS} values of {values.columns[0]} to make columns of")
+        return sorted(found, key=lambda v: (v is not None, v))
+
     def numeric(self, flow: Flow, fields: list[str]) -> list[str]:
         if fields:
             for f in fields:
@@ -470,33 +480,51 @@ class Engine:
         return replace(flow, df=df.join(groups, on, "left").drop(*(f"__g{i}" for i in range(len(by)))))
 
     def do_streamstats(self, flow: Flow, aggs: list[Agg], by: list[str], window: int = 0, current: bool = True, reset_before=None, reset_after=None, **more) -> Flow:
-        """global=false is the default: with a by clause the window counts each group's own rows."""
+        """Frames count the rows of the group; rows with a null in a group key get none.
+
+        Groups that are small enough are windows of one task each; if the largest one isn't, or
+        without groups, rows are dealt into blocks of the order.
+        """
         flow = self.need_order(flow)
+        if reset_before is not None or reset_after is not None:
+            # a run starts at a row that the one condition holds for, or after one that the other holds for
+            starts = {k: F.coalesce(self.expr(c, flow).cast("int"), F.lit(0)) for k, c in (("before", reset_before), ("after", reset_after)) if c is not None}
+            df = flow.df
+            for k, x in starts.items():
+                if by:
+                    upto = Window.partitionBy(*(self.field(b, flow) for b in by)).orderBy(*sort_columns(flow.order)).rowsBetween(Window.unboundedPreceding, 0 if k == "before" else -1)
+                    df = df.withColumn(f"__run_{k}", F.coalesce(F.sum(x).over(upto), F.lit(0)))
+                else:
+                    df = running(df, flow.order, {f"__run_{k}": ("sum", x)}, k == "before").withColumn(f"__run_{k}", F.coalesce(f"__run_{k}", F.lit(0)))
+            runs = [f"__run_{k}" for k in starts]
+            out = self.do_streamstats(replace(flow, df=df), aggs, [*by, *runs], window, current, **more)
+            return replace(out, df=out.df.drop(*runs))
         names = self.named(aggs, [])
         keys = [self.field(b, flow) for b in by]
+        known = reduce(lambda a, b: a & b, (k.isNotNull() for k in keys), F.lit(True))
         back = int(window) - (1 if current else 0) if window else 0
-        if keys:
+        kinds = [aggregates.ALIASES.get(a.call.name, a.call.name) for a in aggs]
+        simple = all(k in ("sum", "count", "min", "max", "avg") and not a.call.distinct for k, a in zip(kinds, aggs, strict=True))
+        if keys and (not (window or simple) or (flow.df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) <= GROUP_ROWS):
             base = Window.partitionBy(*keys).orderBy(*sort_columns(flow.order))
-            frame = base.rowsBetween(-back if window else Window.unboundedPreceding, 0 if current else -1)
-            known = F.lit(True) if not keys else reduce(lambda a, b: a & b, (k.isNotNull() for k in keys))
+            frame = base.rowsBetween(-int(window) + (1 if current else 0) if window else Window.unboundedPreceding, 0 if current else -1)
             new = {n: F.when(known, self.agg_column(a, flow).over(frame)) for a, n in zip(aggs, names, strict=True)}
             return replace(flow, df=flow.df.withColumns(new))
         if window:
-            new = {n: (lambda w, a=a: self.agg_column(a, flow).over(w.rowsBetween(-back, 0 if current else -1))) for a, n in zip(aggs, names, strict=True)}
-            return replace(flow, df=framed(flow.df, flow.order, new, max(back, int(window))))
+            new = {n: (lambda w, a=a: F.when(known, self.agg_column(a, flow).over(w.rowsBetween(-int(window) + (1 if current else 0), 0 if current else -1)))) for a, n in zip(aggs, names, strict=True)}
+            return replace(flow, df=framed(flow.df, flow.order, new, max(back, int(window)), tuple(by)))
+        if not simple:
+            raise QueryError("without by or window, streamstats has count, sum, avg, min and max")
         totals, finish = {}, {}
-        for i, (a, n) in enumerate(zip(aggs, names, strict=True)):
+        for i, (a, n, kind) in enumerate(zip(aggs, names, kinds, strict=True)):
             x = self.expr(a.call.args[0], flow) if a.call.args else F.lit(1)
-            kind = aggregates.ALIASES.get(a.call.name, a.call.name)
             if kind == "avg":
                 totals |= {f"__s{i}": ("sum", x.cast("double")), f"__c{i}": ("count", x)}
-                finish[n] = F.try_divide(F.col(f"__s{i}"), F.col(f"__c{i}"))
-            elif kind in ("sum", "count", "min", "max"):
-                totals[f"__s{i}"] = (kind, x)
-                finish[n] = F.col(f"__s{i}")
+                finish[n] = F.when(known, F.try_divide(F.col(f"__s{i}"), F.col(f"__c{i}")))
             else:
-                raise QueryError(f"streamstats without by or window has no {kind}")
-        df = running(flow.df, flow.order, totals, bool(current)).withColumns(finish).drop(*totals)
+                totals[f"__s{i}"] = (kind, x)
+                finish[n] = F.when(known, F.col(f"__s{i}"))
+        df = running(flow.df, flow.order, totals, bool(current), tuple(by)).withColumns(finish).drop(*totals)
         return replace(flow, df=df)
 
     # -- several sources ------------------------------------------------------------------------

@@ -137,3 +137,22 @@ def test_metadata(engine):
     assert rows(engine, "describe hosts") == [("host", "string", True), ("region", "string", True)]
     assert ("logs",) in rows(engine, "showdatasources")
     assert "Filter" in rows(engine, "explain source=logs | where id > 1")[0][0]
+
+
+def test_groups_that_are_split(engine, monkeypatch):
+    """Large groups take blocks of the order; the result is the same."""
+    from pipelight.operators import ordered
+    from pipelight.plans import compiler
+
+    texts = ["source=logs | streamstats count() as n, avg(latency) as m, max(status) as x by host | fields id, n, m, x", "source=logs | streamstats window=2 sum(status) as s by host | fields id, s", "source=logs | streamstats current=false sum(status) as s by host | fields id, s"]
+    want = [sorted(rows(engine, t)) for t in texts]
+    monkeypatch.setattr(compiler, "GROUP_ROWS", 0)
+    monkeypatch.setattr(ordered, "BLOCK_ROWS", 2)
+    assert [sorted(rows(engine, t)) for t in texts] == want
+    assert sorted(rows(engine, "source=logs | streamstats count() as n, sum(latency) as s | fields id, n, s")) == [(1, 1, 10.0), (2, 2, 10.0), (3, 3, 40.0), (4, 4, 45.0), (5, 5, 65.0)]
+    assert sorted(rows(engine, "source=logs | streamstats window=3 max(id) as m | fields m")) == [(1,), (2,), (3,), (4,), (5,)]
+
+
+def test_streamstats_resets(engine):
+    assert sorted(rows(engine, "source=logs | streamstats reset_before=(status = 500) count() as n | fields id, n")) == [(1, 1), (2, 1), (3, 2), (4, 3), (5, 1)]
+    assert sorted(rows(engine, "source=logs | streamstats reset_after=(status = 500) count() as n by host | fields id, n")) == [(1, 1), (2, 1), (3, 2), (4, None), (5, 1)]

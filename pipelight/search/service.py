@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from ..sources.catalog import Catalog
 from .aggs import aggregate
+from .expressions import expression
 from .query import Compiler, Node, parse_query
 
-_KEYS = frozenset("query size from sort _source aggs aggregations highlight timeout track_total_hits".split())
+_KEYS = frozenset("query size from sort _source aggs aggregations script_fields highlight timeout track_total_hits".split())
 
 
 @dataclass
@@ -24,6 +25,8 @@ class SearchRequest:
     sort: list = field(default_factory=list)
     source: Any = True
     aggs: dict = field(default_factory=dict)
+    #: name -> expression tree, computed for each hit
+    script_fields: dict = field(default_factory=dict)
 
     @classmethod
     def parse(cls, body: dict | str | None) -> SearchRequest:
@@ -34,7 +37,7 @@ class SearchRequest:
         if size < 0 or start < 0:
             raise ValueError("size and from are not negative")
         sort = body.get("sort", [])
-        return cls(body.get("query"), size, start, sort if isinstance(sort, list) else [sort], body.get("_source", True), body.get("aggs") or body.get("aggregations") or {})
+        return cls(body.get("query"), size, start, sort if isinstance(sort, list) else [sort], body.get("_source", True), body.get("aggs") or body.get("aggregations") or {}, body.get("script_fields") or {})
 
 
 @dataclass
@@ -79,7 +82,8 @@ class SearchService:
         matched = self.matching(index, request.query, scored)
         order = [(F.col(k).desc_nulls_last() if down else F.col(k).asc_nulls_first()) for k, down in keys] or [F.desc("_score")]
         hits = matched.orderBy(*order, "_id").offset(request.from_).limit(request.size) if request.from_ else matched.orderBy(*order, "_id").limit(request.size)
-        hits = _project(hits, request.source)
+        computed = {n: expression(spec.get("script", spec)) for n, spec in request.script_fields.items()}
+        hits = _project(hits.withColumns(computed), request.source, list(computed))
         plain = Compiler(self.catalog.text[index], self.udfs)
         return SearchResponse(hits, matched, {n: aggregate(matched, n, spec, plain) for n, spec in request.aggs.items()})
 
@@ -92,6 +96,15 @@ class SearchService:
         df = self.catalog.frame(index)
         return df.where(F.col(own) == F.lit(id_).cast(df.schema[own].dataType)).withColumn("_id", F.col(own).cast("string"))
 
+    def postings(self, index: str, field: str) -> DataFrame:
+        """(term, _id, position): where each term of a text field stands."""
+        tokens = self.catalog.text[index].of(field).column(F.col(field))
+        return self.catalog.frame(index).select(self.id_column(index).alias("_id"), F.posexplode(tokens).alias("position", "term"))
+
+    def terms(self, index: str, field: str) -> DataFrame:
+        """(term, doc_freq, total_freq): the term dictionary of a text field."""
+        return self.postings(index, field).groupBy("term", "_id").agg(F.count(F.lit(1)).alias("tf")).groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq"), F.sum("tf").alias("total_freq"))
+
     def multi_search(self, lines: str) -> list[SearchResponse]:
         """Pairs of lines: a header with the index, then a request."""
         rows = [json.loads(x) for x in lines.splitlines() if x.strip()]
@@ -110,8 +123,8 @@ def _sort_key(spec) -> tuple[str, bool]:
     return name, value == "desc"
 
 
-def _project(df: DataFrame, source) -> DataFrame:
-    meta = [c for c in ("_id", "_score") if c in df.columns]
+def _project(df: DataFrame, source, computed: list[str]) -> DataFrame:
+    meta = [*computed, *(c for c in ("_id", "_score") if c in df.columns)]
     if source is True or source is None:
         return df
     if source is False:
@@ -121,5 +134,5 @@ def _project(df: DataFrame, source) -> DataFrame:
         names = [c for c in wanted if c not in set(source.get("excludes") or [])]
     else:
         names = [source] if isinstance(source, str) else list(source)
-    return df.select(*(n for n in names if n in df.columns), *meta)
+    return df.select(*(n for n in names if n in df.columns and n not in meta), *meta)
 

@@ -22,3 +22,11 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     path = f"{folder.rstrip('/')}/pipelight/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark) -> None:
+    """Remove all intermediate tables; for when no DataFrame that reads one is needed any more."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/pipelight")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -16,7 +16,6 @@ scan is linear in the text, whatever its length; an empty table gives an empty r
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections import Counter
@@ -291,13 +290,10 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return own.mapInArrow(run, f"id {kind}, spans array<struct<kind: string, start: long, end: long, base: boolean, probability: double>>, redacted string").withColumnRenamed("id", id_col)
 
 
-def digest(spans) -> str:
-    return hashlib.sha256(joined(spans).encode()).hexdigest()
-
-
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii_spans(table(spark, sf_dir, "documents"))
     line = lambda c: F.concat_ws(",", F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    of = lambda kind: F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))

@@ -125,7 +125,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smaller id, or earlier in the same one.  Windows are judged on the input.
     """
     own = keyed(docs, id_col, text_col)
-    merged = merged_spans(covered(own, _units, _text_units, window, min(GRAM, max(1, window // 2)), True, _solve(window)))
+    merged = merged_spans(covered(own, _units, _text_units, window, min(GRAM, max(1, window // 2)), True, _solve(window), 8))
     hit = own.join(merged, "key", "left").select("id", F.col("text").cast("binary").alias("text"), "spans")
 
     def remove(batches):

@@ -135,7 +135,7 @@ def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     document or another, is removed; strings are judged on the input.
     """
     own = keyed(docs, id_col, text_col)
-    spans = covered(own, _units, lambda text: np.frombuffer(text, dtype=np.uint8), length, min(GRAM, max(1, length // 2)), False, _solve(length))
+    spans = covered(own, _units, lambda text: np.frombuffer(text, dtype=np.uint8), length, min(GRAM, max(1, length // 2)), False, _solve(length), 1)
     return _apply(own, spans, id_col)
 
 

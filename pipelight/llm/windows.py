@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import cut, small
+from .common import cut
 
 #: Differing contexts of one anchor that a solver takes at once.
 GROUP_LIMIT = 2000
@@ -174,13 +174,13 @@ def _settle(width: int, earlier_only: bool) -> Callable:
     return run
 
 
-def covered(docs: DataFrame, units_of: Callable, text_units: Callable, width: int, gram: int, earlier_only: bool, solve: Callable) -> DataFrame:
+def covered(docs: DataFrame, units_of: Callable, text_units: Callable, width: int, gram: int, earlier_only: bool, solve: Callable, item: int) -> DataFrame:
     """(key, start, end) spans of units covered by windows that are repeated.
 
     docs: key, text.  earlier_only: a window counts only if an equal one starts earlier (smaller
     key, or same key and earlier start); otherwise if an equal one starts anywhere else.
     units_of(data, offsets) gives 64-bit units and counts; text_units(text) the units of one text,
-    as integers; solve(list of (key, start, units)) yields (index, first window, last window + 1).
+    as integers of `item` bytes (1: bytes as they are, 8: hashes); solve(list of (key, start, units)) yields (index, first window, last window + 1).
     """
     found_at = docs.select("key", F.col("text").cast("binary").alias("text")).mapInArrow(_occurrences(units_of, width, gram), _OCCURRENCE)
     # settled rows carry no anchor; they are spread, not gathered
@@ -188,11 +188,10 @@ def covered(docs: DataFrame, units_of: Callable, text_units: Callable, width: in
     found = cut(found_at.repartition(to).sortWithinPartitions("anchor", "context", "key", "start").mapInArrow(_settle(width, earlier_only), _FOUND), "found")
     settled = found.where("kind = 0").select("key", "start", "end")
     open_ = found.where("kind > 0")
-    n = open_.count()
-    if not n:
+    if not open_.limit(1).count():
         return settled
     lists = open_.groupBy("key").agg(F.collect_list(F.struct("kind", "anchor", "start", "end")).alias("open"))
-    wanted = docs.join(small(lists, n, 80), "key").select("key", F.col("text").cast("binary").alias("text"), "open")
+    wanted = docs.join(lists, "key").select("key", F.col("text").cast("binary").alias("text"), "open")
 
     def fetch(batches):
         for batch in batches:
@@ -237,8 +236,6 @@ def covered(docs: DataFrame, units_of: Callable, text_units: Callable, width: in
     if not texts.where("kind = 2").limit(1).count():
         return spans
 
-    item = 1 if width >= 64 else 8  # bytes of a unit in a context: bytes stand as they are, words as hashes
-
     def explode(batches):
         for batch in batches:
             for key, start, units in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):

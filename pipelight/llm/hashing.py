@@ -10,7 +10,7 @@ import pyarrow as pa
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Bytes that one numpy pass treats at once; bounds the memory of a worker.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _powers: dict[str, np.ndarray] = {}
 
 

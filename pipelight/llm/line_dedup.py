@@ -19,11 +19,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from . import hashing as H
 from .common import cut, keyed, small, table
 from .components import connected_components
-from .minhash_dedup import bands_of, verifier
+from .minhash_dedup import bands_of
 from .neardup import linked
 
 SHINGLE = 8
@@ -103,6 +105,13 @@ def jaccard(left: bytes, right: bytes) -> float:
     return common / (len(a) + len(b) - common)
 
 
+def elements_of(line: bytes) -> np.ndarray:
+    """The hashes of a line's shingles, each once."""
+    data = np.frombuffer(line, dtype=np.uint8)
+    at = np.arange(max(1, data.size - SHINGLE + 1))
+    return np.unique(H.ranges(H.prefix_sums(H.BYTE_UNITS[data]), at, np.minimum(at + SHINGLE, data.size)))
+
+
 def repeated_lines(own: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(id, component, key, place) of lines in components of more than one text, where id is a
     line's hash and (key, place) the first occurrence of any line of the component."""
@@ -137,22 +146,32 @@ def repeated_lines(own: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     pairs = lines.select("id", "bands").mapInArrow(unpack, "bucket long, id long")
     met = cut(pairs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(crowded, "bucket long, id long").distinct(), "met")
     wanted = cut(met.select("id").distinct().join(lines.select("id", "first"), "id"), "wanted")
-    n = wanted.count()
-    places = wanted.groupBy(F.col("first.key").alias("key")).agg(F.collect_list(F.struct("id", F.col("first.place").alias("place"))).alias("lines"))
 
-    def fetch(batches):
-        for batch in batches:
-            ids, texts = [], []
-            for text, found_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                spans = _lines(text)
-                for x in found_:
-                    begin, end = spans[x["place"]]
-                    ids.append(x["id"])
-                    texts.append(text[begin:end])
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(texts, pa.binary())], names=["id", "text"])
-
-    texts = cut(own.join(small(places, n, 48), "key").select(F.col("text").cast("binary").alias("text"), "lines").mapInArrow(fetch, "id long, text binary"), "texts")
-    classes = cut(connected_components(linked(met, verifier(texts, jaccard), threshold)), "classes")
+    def elements(kind):
+        def run(batches):
+            for batch in batches:
+                ids, infos, sets = [], [], []
+                for text, found_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    spans, known = _lines(text), {}
+                    for x in found_:
+                        if x["id"] not in known:
+                            begin, end = spans[x["place"]]
+                            known[x["id"]] = elements_of(text[begin:end]).tobytes()
+                        ids.append(x["id"])
+                        infos.append(x["info"])
+                        sets.append(known[x["id"]])
+                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(infos, kind), pa.array(sets, pa.binary())], names=["id", "info", "elements"])
+
+        return run
+
+    def fetch(asked):
+        places = cut(asked.join(wanted, "id").select(F.col("first.key").alias("key"), F.struct("id", F.col("first.place").alias("place"), "info").alias("line")), "places")
+        by_text = places.groupBy("key").agg(F.collect_list("line").alias("lines"))
+        rows = own.join(small(by_text, places.count(), 80), "key").select(F.col("text").cast("binary").alias("text"), "lines")
+        info = asked.schema["info"]
+        return rows.mapInArrow(elements(to_arrow_type(info.dataType)), StructType([StructField("id", LongType()), info, StructField("elements", BinaryType())]))
+
+    classes = cut(connected_components(linked(met, fetch, threshold)), "classes")
     members = classes.join(wanted, "id")
     first = members.groupBy("component").agg(F.min("first").alias("first"))
     similar = members.select("id", "component").join(first, "component")

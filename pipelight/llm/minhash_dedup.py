@@ -17,12 +17,13 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from . import hashing as H
 from .common import cut, keyed, small, table
@@ -117,8 +118,23 @@ def _sign(batches):
             yield pa.record_batch([keys[a:b], pa.array(exact[0]), pa.array(exact[1]), pa.array(np.diff(counts).astype(np.int64)), lists], names=["key", "e1", "e2", "n", "bands"])
 
 
+def elements_of(text: bytes) -> np.ndarray:
+    """A text's counted shingles as a set: the j-th occurrence of a shingle is an element.
+
+    The plain Jaccard similarity of two such sets is the weighted one of the counts.
+    """
+    data = np.frombuffer(text, dtype=np.uint8)
+    units, _, _, counts = H.words(data, np.array([0, data.size]), lower=True)
+    _, element = shingles(units, counts, SHINGLE)
+    element = np.sort(element)
+    first = np.concatenate([[True], element[1:] != element[:-1]]) if element.size else np.empty(0, bool)
+    begin = np.flatnonzero(first)
+    nth = np.arange(element.size) - begin[np.cumsum(first) - 1]
+    return np.sort(H.mix(element + H.mix(nth.astype(np.uint64) + np.uint64(1))))
+
+
 def weighted_jaccard(left: bytes, right: bytes) -> float:
-    """Of the counted shingles of two texts."""
+    """Of the counted shingles of two texts, by their words; for tests."""
     a, b = (_count(x) for x in (left, right))
     common = sum(min(n, b[s]) for s, n in a.items() if s in b)
     total = sum(a.values()) + sum(b.values()) - common
@@ -130,20 +146,21 @@ def _count(text: bytes) -> Counter:
     return Counter(tuple(words[i : i + SHINGLE]) for i in range(max(len(words) - SHINGLE + 1, min(1, len(words)))))
 
 
-def verifier(texts: DataFrame, similarity):
-    """pairs (a, b) -> (a, b, sim) with the texts (id, text) of both sides."""
+def _elements(batches):
+    for batch in batches:
+        sets = [elements_of(t).tobytes() for t in batch.column(2).to_pylist()]
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["id", "info", "elements"])
+
 
-    def compare(batches):
-        for batch in batches:
-            a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([similarity(p, q) for p, q in zip(x, y, strict=True)], pa.float64())], names=["a", "b", "sim"])
+def _fetch(own: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Elements of the documents with the keys that are asked for."""
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        left = texts.select(F.col("id").alias("a"), F.col("text").alias("left"))
-        right = texts.select(F.col("id").alias("b"), F.col("text").alias("right"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(compare, "a long, b long, sim double")
+    def fetch(wanted: DataFrame) -> DataFrame:
+        wanted = cut(wanted, "wanted")
+        rows = own.join(small(wanted.withColumnRenamed("id", "key"), wanted.count(), 64), "key").select(F.col("key").alias("id"), "info", F.col("text").cast("binary").alias("text"))
+        return rows.mapInArrow(_elements, StructType([*rows.schema.fields[:2], StructField("elements", BinaryType())]))
 
-    return verify
+    return fetch
 
 
 def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keep: Sequence[str] = ()) -> DataFrame:
@@ -171,11 +188,8 @@ def _classes(own: DataFrame, threshold: float) -> DataFrame:
     buckets = equal.where("n > 0").select(F.col("first").alias("id"), F.explode("bands").alias("bucket")).select("bucket", "id")
     crowded = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = cut(buckets.join(crowded, "bucket").select("bucket", "id"), "met")
-    wanted = cut(met.select("id").distinct(), "wanted")
-    n = wanted.count()
-    if n:
-        texts = cut(own.join(small(wanted.withColumnRenamed("id", "key"), n, 24), "key").select(F.col("key").alias("id"), F.col("text").cast("binary").alias("text")), "texts")
-        copies = copies.unionByName(linked(met, verifier(texts, weighted_jaccard), threshold))
+    if met.limit(1).count():
+        copies = copies.unionByName(linked(met, _fetch(own), threshold))
     return cut(connected_components(copies).select(F.col("id").alias("key"), F.col("component").alias("class_key")), "classes")
 
 

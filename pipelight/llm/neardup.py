@@ -1,77 +1,174 @@
-"""Banded joining with exact verification, for items that share a band's bucket.
+"""Exact links among items that banded signatures brought together.
 
-A bucket can hold thousands of items that are all alike, so pairs within it are not all emitted.
-Verified similarity is 1 - d with d a metric (Jaccard distance, plain or weighted), which settles
-most pairs by a pivot:
+Items that share a bucket, directly or through others, form a cluster.  Items are compared exactly,
+as sets of 64-bit elements, within cells of bounded size; a cell is a matrix in one task's memory and
+gives the links of a spanning forest, so pairs are never emitted.
 
-* each bucket's least item is its pivot, and every member is compared with it;
-* members within the threshold of the pivot are linked, so pairs among them need no comparing;
-* members x farther than that are compared with other pivots for a few rounds, and those that are
-  still apart from some of the bucket are compared with every member y that the triangle
-  inequality allows: |d(x, pivot) - d(y, pivot)| <= 1 - threshold.
+* A cluster of up to CELL items is one cell: all of its pairs are compared.
+* A larger one has a hub, the item that agrees with most others in its buckets.  Its items are dealt
+  into cells at random, each with the hub in it.  In a group of near copies nearly everything links
+  to the hub here, and the work is linear in the group.
+* Items that are still apart from the hub's component are then compared with the rest of their
+  cluster, cell against cell, skipping cells that the triangle inequality rules out: Jaccard distance
+  is a metric, so items whose distances from the hub differ by more than 1 - threshold aren't similar.
 
-So no link between components is lost, and the pairs compared grow with the items, not with the
-squares of groups of copies.
+So every pair of a cluster is compared unless both are linked to the hub already or it is ruled out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 from .components import connected_components
 
-#: Rounds of pivots before the pairs that remain are listed.
-ROUNDS = 3
+#: Items of a cell.
+CELL = 512
+#: Elements that a cell's matrix has at once.
+COLUMNS = 4096
+_STEP = 0.05
 
 
-def linked(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
-    """(a, b) links between items of buckets (bucket, id) that connect all that are similar.
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each of left with each of right."""
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    if not left or not right:
+        return out
+    if len(left) * len(right) <= 4:
+        for i, a in enumerate(left):
+            for j, b in enumerate(right):
+                out[i, j] = a.size if a is b else np.intersect1d(a, b, assume_unique=True).size
+        return out
+    a, b = np.concatenate(left), np.concatenate(right)
+    of_a, of_b = np.repeat(np.arange(len(left)), [x.size for x in left]), np.repeat(np.arange(len(right)), [x.size for x in right])
+    shared = np.intersect1d(a, b)  # only these count
+    at_a, at_b = np.searchsorted(shared, a), np.searchsorted(shared, b)
+    in_a, in_b = at_a < shared.size, at_b < shared.size
+    in_a[in_a] = shared[at_a[in_a]] == a[in_a]
+    in_b[in_b] = shared[at_b[in_b]] == b[in_b]
+    of_a, at_a, of_b, at_b = of_a[in_a], at_a[in_a], of_b[in_b], at_b[in_b]
+    order_a, order_b = np.argsort(at_a, kind="stable"), np.argsort(at_b, kind="stable")
+    of_a, at_a, of_b, at_b = of_a[order_a], at_a[order_a], of_b[order_b], at_b[order_b]
+    for start in range(0, shared.size, COLUMNS):
+        (i, j), (k, m) = np.searchsorted(at_a, [start, start + COLUMNS]), np.searchsorted(at_b, [start, start + COLUMNS])
+        x, y = np.zeros((len(left), COLUMNS), dtype=np.float32), np.zeros((len(right), COLUMNS), dtype=np.float32)
+        x[of_a[i:j], at_a[i:j] - start] = 1
+        y[of_b[k:m], at_b[k:m] - start] = 1
+        out += x @ y.T
+    return out
 
-    verify takes distinct pairs (a, b) and returns them with their exact similarity, as sim.
+
+def similarities(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Exact Jaccard similarities of sets of unique elements; two empty sets are equal."""
+    common = overlaps(left, right)
+    total = np.array([x.size for x in left], dtype=np.float32)[:, None] + np.array([x.size for x in right], dtype=np.float32)[None, :] - common
+    return np.where(total > 0, common / np.maximum(total, 1), 1.0)
+
+
+def forest(rows: np.ndarray, cols: np.ndarray, left: list[int], right: list[int]) -> list[tuple[int, int]]:
+    """A spanning forest of the links left[row] - right[col]."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for i, j in zip(rows.tolist(), cols.tolist(), strict=True):
+        a, b = find(left[i]), find(right[j])
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.append((left[i], right[j]))
+    return out
+
+
+def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, list]]:
+    """Runs of equal keys of sorted rows: (key, rows); a run is a cell, which is bounded."""
+    key, rows = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
+            if row[:n_keys] != key:
+                if rows:
+                    yield key, rows
+                key, rows = row[:n_keys], []
+            rows.append(row[n_keys:])
+    if rows:
+        yield key, rows
+
+
+def _edges(found: list[tuple[int, int]], far: list[tuple[int, float]]) -> pa.RecordBatch:
+    a, b = [x for x, _ in found] + [x for x, _ in far], [y for _, y in found] + [None] * len(far)
+    return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([None] * len(found) + [d for _, d in far], pa.float64())], names=["a", "b", "far"])
+
+
+def linked(met: DataFrame, fetch: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
+    """(a, b) links that connect all similar items.
+
+    met: (bucket, id) of buckets with several items; fetch takes (id, info) and gives it with
+    elements, the unique 64-bit elements of the item as bytes.  Elements are made where the items'
+    texts are read and move once, to their cell.
     """
-    spark = buckets.sparkSession
-    sized = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("pivot")).where("n > 1")
-    members = cut(buckets.join(sized, "bucket").select("bucket", "id", "pivot"), "members")
-    pairs = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    compared = cut(verify(pairs), "compared")
-    links = compared.where(F.col("sim") >= threshold).select("a", "b")
-    apart = F.col("distance") > 1 - threshold
-    distances = compared.select(F.col("a").alias("pivot"), F.col("b").alias("id"), (1 - F.col("sim")).alias("distance"))
-    # buckets of which some member isn't within the threshold of the pivot
-    placed = members.join(distances, ["pivot", "id"], "left").select("bucket", "id", F.coalesce("distance", F.lit(0.0)).alias("distance"))
-    open_buckets = placed.where(apart).select("bucket").distinct()
-    if not open_buckets.limit(1).count():
+    sized = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("pivot"))
+    members = cut(met.join(sized, "bucket"), "members")
+    clusters = connected_components(members.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
+    agreeing = members.groupBy("id").agg(F.sum("n").alias("agrees"))
+    items = cut(clusters.join(agreeing, "id").select(F.col("component").alias("cluster"), "id", "agrees"), "items")
+    whole = items.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.max_by("id", F.struct("agrees", -F.col("id"))).alias("hub"))
+    items = cut(items.join(whole, "cluster").withColumn("cells", F.ceil(F.col("n") / CELL).cast("int")).withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells")).cast("int")), "items")
+    placed = items.select("cluster", "cell", "id", "hub", "cells")
+    hubs = items.where("id = hub and cells > 1").select("cluster", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), "id", "hub", "cells", F.col("cell").alias("own")).where("cell <> own").drop("own")
+
+    def compare(batches):
+        for (_, _), rows in _groups(batches, 2):
+            ids, hub, several = [r[0] for r in rows], rows[0][1], rows[0][2] > 1
+            elements = [np.frombuffer(r[3], dtype=np.uint64) for r in rows]
+            sim = similarities(elements, elements)
+            i, j = np.nonzero(np.triu(sim >= threshold - 1e-7, 1))
+            far = []
+            if several:
+                k = ids.index(hub)
+                far = [(x, float(1 - s)) for x, s in zip(ids, sim[k], strict=True) if x != hub]
+            yield _edges(forest(i, j, ids, ids), far)
+
+    info = ["cluster", "cell", "hub", "cells"]
+    cells = fetch(placed.unionByName(hubs).select("id", F.struct(*info).alias("info"))).select("info.cluster", "info.cell", "id", "info.hub", "info.cells", "elements")
+    first = cut(cells.repartition("cluster", "cell").sortWithinPartitions("cluster", "cell", "id").mapInArrow(compare, "a long, b long, far double"), "links")
+    links = first.where("b is not null").select("a", "b")
+    distance = first.where("b is null").select(F.col("a").alias("id"), "far")
+    if not distance.limit(1).count():
         return links
-    placed = cut(placed.join(open_buckets, "bucket", "left_semi"), "placed")
-    for round_ in range(ROUNDS):
-        state = _components(placed, links)
-        ranked = state.groupBy("bucket", "component").agg(F.min_by("id", F.xxhash64("id", F.lit(round_))).alias("agent"), F.count(F.lit(1)).alias("n"))
-        lead = ranked.groupBy("bucket").agg(F.max_by("agent", F.struct("n", F.xxhash64("component", F.lit(round_)))).alias("lead"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        more = ranked.join(lead, "bucket").where("agent <> lead").select(F.least("agent", "lead").alias("a"), F.greatest("agent", "lead").alias("b")).distinct().join(compared, ["a", "b"], "left_anti")
-        more = cut(verify(more), "compared")
-        if not more.limit(1).count():
-            break
-        compared = compared.unionByName(more)
-        links = links.unionByName(more.where(F.col("sim") >= threshold).select("a", "b"))
-    # the rest: members outside their bucket's largest component, against all that may be near
-    state = cut(_components(placed, links), "state")
-    main = state.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max_by("component", "count").alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    state = state.join(main, "bucket")
-    strays = state.where("component <> main").select("bucket", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("distance").alias("dx"))
-    rest = (
-        strays.join(state.select("bucket", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("distance").alias("dy"), "main"), "bucket")
-        .where((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & (F.abs(F.col("dx") - F.col("dy")) <= 1 - threshold + 1e-9))
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
-        .join(compared, ["a", "b"], "left_anti")
-    )
-    del spark
-    return links.unionByName(verify(rest).where(F.col("sim") >= threshold).select("a", "b"))
-
-
-def _components(placed: DataFrame, links: DataFrame) -> DataFrame:
-    return placed.join(connected_components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    large = items.where("cells > 1").join(distance, "id", "left").join(connected_components(links), "id", "left").select("cluster", "id", "hub", F.coalesce("component", "id").alias("component"), F.coalesce("far", F.lit(0.0)).alias("far"))
+    large = large.withColumn("ring", F.floor(F.col("far") / _STEP).cast("int"))
+    main = large.where("id = hub").select("cluster", F.col("component").alias("main"))
+    large = cut(large.join(main, "cluster").withColumn("stray", F.col("component") != F.col("main")), "large")
+    rings = large.groupBy("cluster", "ring").agg(F.ceil(F.sum(F.col("stray").cast("int")) / CELL).cast("int").alias("stray_parts"), F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("parts"))
+    reach = int((1 - threshold) / _STEP) + 1
+    other = rings.select("cluster", F.col("ring").alias("other_ring"), F.col("stray_parts").alias("other_stray_parts"), F.col("parts").alias("other_parts"))
+    near = cut(rings.join(other, "cluster").where(F.abs(F.col("ring") - F.col("other_ring")) <= reach), "near")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    part = lambda n: F.pmod(F.xxhash64("id", F.lit(3)), F.col(n)).cast("int")
+    # strays of a ring, in parts, meet all items of each ring near it, in parts
+    asked = large.where("stray").join(near.where("stray_parts > 0"), ["cluster", "ring"]).withColumn("part", part("stray_parts")).withColumn("other_part", spread("other_parts"))
+    asked = asked.select("cluster", "ring", "part", "other_ring", "other_part", "id", F.lit(True).alias("asks"))
+    given = large.join(near.where("stray_parts > 0").select("cluster", F.col("ring").alias("asking"), F.col("other_ring").alias("ring"), "stray_parts", "other_parts"), ["cluster", "ring"])
+    given = given.withColumn("other_part", part("other_parts")).withColumn("part", spread("stray_parts"))
+    given = given.select("cluster", F.col("asking").alias("ring"), "part", F.col("ring").alias("other_ring"), "other_part", "id", F.lit(False).alias("asks"))
+
+    def meet(batches):
+        for _, rows in _groups(batches, 5):
+            left, right = [r for r in rows if r[1]], [r for r in rows if not r[1]]
+            if left and right:
+                sim = similarities([np.frombuffer(r[2], dtype=np.uint64) for r in left], [np.frombuffer(r[2], dtype=np.uint64) for r in right])
+                i, j = np.nonzero(sim >= threshold - 1e-7)
+                yield _edges(forest(i, j, [r[0] for r in left], [r[0] for r in right]), [])
+
+    keys = ["cluster", "ring", "part", "other_ring", "other_part"]
+    rest = fetch(asked.unionByName(given).select("id", F.struct(*keys, "asks").alias("info"))).select(*(f"info.{k}" for k in keys), "id", "info.asks", "elements").repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(meet, "a long, b long, far double")
+    return links.unionByName(rest.select("a", "b"))

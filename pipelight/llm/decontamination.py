@@ -75,17 +75,17 @@ def phrase_matches(docs: DataFrame, items: DataFrame, item_col: str = "item_id",
     # adjusted lists meet where both terms stand as the phrase has them
     both = at("a").withColumn("lists", F.lit(1)).unionByName(at("b").withColumn("lists", F.lit(2))).where("start >= 0")
     both = both.groupBy("phrase", "key", "start").agg(F.sum("lists").alias("lists"))
-    candidates = cut(
-        both.join(small(probes.select("phrase", "words", "n"), n_probes, 40 * window), "phrase").where((F.col("lists") == 3) | ((F.col("lists") == 1) & (F.col("n") == 1))).select("key", "start", "n", F.col("words").alias("phrase_words")), "candidates"
-    )
+    lengths = small(probes.select("phrase", "n").distinct(), n_probes, 24)
+    candidates = cut(both.join(lengths, "phrase").where((F.col("lists") == 3) | ((F.col("lists") == 1) & (F.col("n") == 1))).select("key", "start", "n", "phrase"), "candidates")
     n_candidates = candidates.count()
-    # the rest of the words are compared in the document
-    looked_up = candidates.groupBy("key").agg(F.collect_list(F.struct("start", "n", "phrase_words")).alias("found"))
-    exact = (
-        docs.join(small(looked_up, n_candidates, 40 * window), "key")
-        .select("key", F.explode(F.filter("found", lambda x: F.slice(F.col("words"), x["start"] + 1, x["n"]) == x["phrase_words"])).alias("hit"))
-        .select("key", F.col("hit.start").alias("start"), F.col("hit.n").alias("n"), F.col("hit.phrase_words").alias("words"))
+    # the rest of the words are compared in the document; what goes there is a place and a number
+    looked_up = candidates.groupBy("key").agg(F.collect_list(F.struct("start", "n", "phrase")).alias("found"))
+    stretches = (
+        docs.join(small(looked_up, n_candidates, 32), "key")
+        .select("key", F.explode(F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["phrase"].alias("phrase"), F.slice(F.col("words"), x["start"] + 1, x["n"]).alias("words")))).alias("hit"))
+        .select("key", "hit.*")
     )
+    exact = stretches.join(small(probes.select("phrase", "words", "n"), n_probes, 40 * window), ["phrase", "words"])
     return exact.join(small(windows, n_windows, 40 * window), ["words", "n"]).select("key", F.col("item").cast("string").alias("item"), "start", "n")
 
 

@@ -220,7 +220,9 @@ scored("SC1_bm25", "documents", {"term": {"text": "from"}}, ["doc_id"], bm25_sql
 scored("SC3_bool_scores", "documents", {"bool": {"must": [{"match": {"text": "from"}}], "should": [{"match": {"text": {"query": "with", "boost": 2.0}}}], "filter": [{"term": {"lang": "en"}}]}}, ["doc_id"], bm25_sql(f"{_FROM} + CASE WHEN b > 0 THEN 2.0 * {_WITH} ELSE 0 END", "a > 0 AND doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')"))
 add("O8_top_docs", lambda s, d: service(s, d).search("documents", {"query": {"match": {"text": "from"}}, "size": 10}).hits.select("doc_id"), bm25_sql(_FROM, "a > 0").strip().replace("SELECT doc_id, round(", "SELECT doc_id FROM (SELECT doc_id, round(") + ") ORDER BY score DESC, CAST(doc_id AS VARCHAR) LIMIT 10")
 add("SC6_terms", lambda s, d: service(s, d).terms("documents", "text").where("doc_freq > 20"), f"WITH t AS (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS doc_freq, count(*) AS total_freq FROM t GROUP BY 1 HAVING count(DISTINCT doc_id) > 20")
+add("SC6_terms_all", lambda s, d: service(s, d).terms("documents", "text"), f"WITH t AS (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS doc_freq, count(*) AS total_freq FROM t GROUP BY 1")
 add("P27_script_fields", lambda s, d: service(s, d).search("part", {"sort": ["p_partkey"], "size": 50, "_source": ["p_partkey"], "script_fields": {"twice": {"script": {"op": "*", "args": [{"field": "p_size"}, {"const": 2}]}}}}).hits.select("p_partkey", "twice"), "SELECT p_partkey, p_size * 2 AS twice FROM part ORDER BY p_partkey LIMIT 50")
+add("P27_script_fields_all", lambda s, d: service(s, d).search("part", {"sort": ["p_partkey"], "size": None, "_source": ["p_partkey"], "script_fields": {"twice": {"script": {"op": "*", "args": [{"field": "p_size"}, {"const": 2}]}}}}).hits.select("p_partkey", "twice"), "SELECT p_partkey, p_size * 2 AS twice FROM part")
 ppl("F_relevance_where", "source=documents | where match_phrase(text, 'anthat thnt') or match_bool_prefix(text, 'zzz ed') | stats count() as n")
 
 # -- vectors -------------------------------------------------------------------------------------
@@ -269,7 +271,7 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     pipelines.create(Pipeline("order", "result", [rerank_stage({"n_chars": 1.0})]))
     pipelines.associate("documents", "query", "expand")
     pipelines.associate("documents", "result", "order")
-    return pipelines.search(service(spark, sf_dir), "documents", {"query": {"match": {"text": "with"}}, "size": 100000}).hits.select("doc_id", F.col("_score").cast("long").alias("score"))
+    return pipelines.search(service(spark, sf_dir), "documents", {"query": {"match": {"text": "with"}}, "size": None}).hits.select("doc_id", F.col("_score").cast("long").alias("score"))
 
 
 add("X12_pipeline", _pipeline, f"SELECT doc_id, n_chars AS score FROM documents WHERE list_has_any({_TOKENS}, ['with', 'from'])")

@@ -20,7 +20,8 @@ _KEYS = frozenset("query size from sort _source aggs aggregations script_fields
 @dataclass
 class SearchRequest:
     query: dict | None = None
-    size: int = 10
+    #: hits at most; None: all that match
+    size: int | None = 10
     from_: int = 0
     sort: list = field(default_factory=list)
     source: Any = True
@@ -33,8 +34,9 @@ class SearchRequest:
         body = json.loads(body) if isinstance(body, str) else dict(body or {})
         if extra := set(body) - _KEYS:
             raise ValueError(f"a request has no {sorted(extra)[0]!r}")
-        size, start = int(body.get("size", 10)), int(body.get("from", 0))
-        if size < 0 or start < 0:
+        size, start = body.get("size", 10), int(body.get("from", 0))
+        size = None if size is None else int(size)
+        if (size or 0) < 0 or start < 0:
             raise ValueError("size and from are not negative")
         sort = body.get("sort", [])
         return cls(body.get("query"), size, start, sort if isinstance(sort, list) else [sort], body.get("_source", True), body.get("aggs") or body.get("aggregations") or {}, body.get("script_fields") or {})
@@ -81,7 +83,9 @@ class SearchService:
         scored = not keys or any(k == "_score" for k, _ in keys)
         matched = self.matching(index, request.query, scored)
         order = [(F.col(k).desc_nulls_last() if down else F.col(k).asc_nulls_first()) for k, down in keys] or [F.desc("_score")]
-        hits = matched.orderBy(*order, "_id").offset(request.from_).limit(request.size) if request.from_ else matched.orderBy(*order, "_id").limit(request.size)
+        hits = matched.orderBy(*order, "_id")
+        hits = hits.offset(request.from_) if request.from_ else hits
+        hits = hits if request.size is None else hits.limit(request.size)
         computed = {n: expression(spec.get("script", spec)) for n, spec in request.script_fields.items()}
         hits = _project(hits.withColumns(computed), request.source, list(computed))
         plain = Compiler(self.catalog.text[index], self.udfs)

@@ -5,6 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from pipelight.catalogue import QUERIES
 from pipelight.functions import scalar, udf
 from pipelight.plans.pipelines import Pipeline, Pipelines, Stage, StageError, spelling_stage, synonym_stage
 from pipelight.search import sparse
@@ -184,6 +185,19 @@ def test_pipelines(service):
         Pipeline("c", "nope", [Stage("s", fail)])
 
 
+def test_request_without_a_size_takes_all_matches(spark, tmp_path):
+    n = 100_050
+    row = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("with").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(4).cast("long").alias("n_chars"))
+    row.write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["X12_pipeline"](spark, str(tmp_path))
+    assert got.count() == got.distinct().count() == n
+    spark.range(60).select(F.col("id").alias("p_partkey"), F.col("id").alias("p_size")).write.parquet(f"{tmp_path}/part.parquet")
+    assert sorted(map(tuple, QUERIES["P27_script_fields_all"](spark, str(tmp_path)).collect())) == [(i, 2 * i) for i in range(60)]
+    assert list(map(tuple, QUERIES["SC6_terms_all"](spark, str(tmp_path)).collect())) == [("with", n, n)]
+    with pytest.raises(ValueError):
+        SearchRequest.parse({"size": -1})
+
+
 def test_bulk(spark, tmp_path):
     writer = IndexWriter(spark, f"{tmp_path}/index")
     text = '{"index": {"_id": "1"}}\n{"a": 1, "b": "x"}\n{"create": {"_id": "2"}}\n{"a": 2}\n{"update": {"_id": "1"}}\n{"doc": {"b": "y"}}\n'

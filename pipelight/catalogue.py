@@ -228,6 +228,7 @@ ppl("F_relevance_where", "source=documents | where match_phrase(text, 'anthat th
 # -- vectors -------------------------------------------------------------------------------------
 add("V1_cosine", lambda s, d: _nearest(s, d), "SELECT e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 4) AS sim FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) DESC, 1 LIMIT 10")
 add("V2_sparse_topk", lambda s, d: _sparse(s, d), "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0.05 THEN x::DOUBLE ELSE 0 END) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_dot_product(v.e, q.e) AS score FROM v, v q WHERE q.vec_id % 100 = 0) SELECT query_id, id, round(score, 6) AS score FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5")
+add("V2_sparse_topk_every20", lambda s, d: _sparse(s, d, 20), "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0.05 THEN x::DOUBLE ELSE 0 END) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_dot_product(v.e, q.e) AS score FROM v, v q WHERE q.vec_id % 20 = 0) SELECT query_id, id, round(score, 6) AS score FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5")
 add("V1_algebra", lambda s, d: _algebra(s, d), "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))), 4) AS n1, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS n2, CAST(len(list_filter(embedding, lambda x: abs(x::DOUBLE) >= 0.2)) AS INTEGER) AS kept FROM embeddings")
 
 
@@ -243,9 +244,9 @@ def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparse.nearest(df, query, 10, "vec_id", "embedding").select("vec_id", F.round("score", 4).alias("sim"))
 
 
-def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _sparse(spark: SparkSession, sf_dir: str, every: int = 100) -> DataFrame:
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), sparse.from_dense(F.transform("embedding", lambda x: F.when(x > 0.05, x.cast("double")).otherwise(0.0))).alias("vector"))
-    return sparse.top_k_sparse(v, v.where("id % 100 = 0"), 5).select("query_id", "id", F.round("score", 6).alias("score"))
+    return sparse.top_k_sparse(v, v.where(F.col("id") % every == 0), 5).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 def _algebra(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,6 +146,17 @@ def test_sparse_vectors(spark):
     assert sorted(map(tuple, got)) == [(1, 3.0), (2, 1.0)]
 
 
+def test_sparse_search_takes_every_row_divisible_by_20(spark, sf):
+    rows = {r.vec_id: [x if x > 0.05 else 0.0 for x in map(float, r.embedding)] for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()}
+    want = []
+    for q in (i for i in rows if i % 20 == 0):
+        scores = [(-sum(a * b for a, b in zip(rows[q], v, strict=True)), i) for i, v in rows.items()]
+        want += [(q, i, pytest.approx(-s, abs=1e-5)) for s, i in sorted(x for x in scores if x[0] < 0)[:5]]
+    got = sorted(map(tuple, QUERIES["V2_sparse_topk_every20"](spark, sf).collect()))
+    assert len({q for q, *_ in got}) == sum(i % 20 == 0 for i in rows) > sum(i % 100 == 0 for i in rows)
+    assert got == sorted(want, key=lambda x: x[:2])
+
+
 def test_registry():
     r = udf.Registry()
     for v in ("1.0.0", "1.10.0", "1.2.0"):

@@ -16,6 +16,7 @@ id; ids may be null or repeated, each row is a document; an empty table gives an
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from functools import lru_cache
 
@@ -59,12 +60,40 @@ def encoder(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
+@lru_cache(maxsize=4)
+def document_encoder(path: str):
+    """text -> ids as the tokenizers library gives them at its defaults with add_special_tokens=False.
+
+    An added token's literal in a text is that token; the parts between literals are encoded each by
+    itself.  encoder() takes literals as plain text.
+    """
+    with open(path, encoding="utf-8") as f:
+        tokens = json.load(f).get("added_tokens", [])
+    if any(x.get(k) for x in tokens for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError(f"{path}: added tokens that depend on what stands around them")
+    plain, added = encoder(path), {x["content"]: x["id"] for x in tokens}
+    if not added:
+        return plain
+    # the longest of the tokens that start at a place is taken
+    literal = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+
+    def encode(text: str) -> list[int]:
+        parts = literal.split(text)
+        ids = plain(parts[0])
+        for token, rest in zip(parts[1::2], parts[2::2], strict=True):
+            ids.append(added[token])
+            ids += plain(rest)
+        return ids
+
+    return encode
+
+
 def pieces_of(docs: DataFrame, id_col: str, text_col: str, path: str, capacity: int, end_id: int, keep_ids: bool) -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids]) of each row; only longer documents are cut, and
     only their first piece is shorter than capacity."""
 
     def run(batches):
-        encode = encoder(path)
+        encode = document_encoder(path)
         for batch in batches:
             at, out = [], {k: [] for k in ("piece", "start", "length", "crc", "ids")}
             for row, text in enumerate(batch.column(1).to_pylist()):

@@ -126,6 +126,19 @@ def test_encoder_agrees_with_the_tokenizers_library():
         assert packing.encoder(path)(t) == library.encode(t, add_special_tokens=False).ids
 
 
+def test_document_ids_are_those_of_the_library_at_its_defaults(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(packing.default_tokenizer())
+    r = random.Random(8)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "a  <|endoftext|>  b", "<|endoftext|", "", "é\n\n<|endoftext|>\n's"]
+    texts += ["".join(r.choice(["<|endoftext|>", "<|", "|>", " ", "\n", "a", "'s", "é", "中", "12", "!"]) for _ in range(30)) for _ in range(200)]
+    want = {i: [*library.encode(t, add_special_tokens=False).ids, packing.END_ID] for i, t in enumerate(texts)}
+    assert len(want[0]) == 5
+    got = packing.best_fit_packing(docs(spark, texts), keep_ids=True).collect()
+    assert {x.doc_id: x.ids for x in got} == want
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_places_each_piece_once_and_packs_well(seed):
     r = random.Random(seed)

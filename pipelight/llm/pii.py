@@ -89,7 +89,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 #: High-recall generators: a kind's pattern, and characters of which a text must have one (None: any text).
 GENERATORS = (
-    ("secret", re.compile(r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+-]{16,128}+={0,2}(?![A-Za-z0-9_/+-])"), _DIGIT),
+    ("secret", re.compile(r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+-]{16,}+={0,2}(?![A-Za-z0-9_/+-])"), _DIGIT),
     ("written_email", re.compile(r"(?<![\w.])[A-Za-z0-9_-]{1,40}+(?:\.[A-Za-z0-9_-]{1,40}+){0,3} ?(?:\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]{1,40}+(?:(?: ?(?:\(dot\)|\[dot\]|\{dot\}| dot ) ?|\.)[A-Za-z0-9-]{2,40}+){1,3}"), re.compile(r"[(\[{ ]at[)\]} ]")),
     ("local_phone", re.compile(r"(?<![\w.+-])(?:\([0-9]{2,5}\)[ -]?|0?[0-9]{2,4}[ -])[0-9]{3,4}[ -][0-9]{3,5}(?![\w-])"), _DIGIT),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])"), _DIGIT),
@@ -132,7 +132,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     return [
         float(KIND_ORDER[kind]), n, digits / n, upper / n, lower / n, hexes / n, entropy, turns,
         float(n - digits - upper - lower), float(max(map(len, words), default=0)), float(luhn(numbers)) if numbers else 0.0, float(_iban(span)) if kind == "iban" else 0.0,
-        float(bool(re.search(r"[=:]\s?[\"']?$", before))), float(before[-1:] in "\"'"), float(after[:1] in "\"'" and bool(after)), float(digits),
+        float(bool(re.search(r"[=:]\s?[\"']?$", before))), float(before[-1:] in "\"'"), float(after[:1] in "\"'" and bool(after)), float(digits), float(before[-1:] == "."), float(span.startswith("eyJ")),
         *(float(bool(c.search(before))) for c in CUES),
     ]
 
@@ -171,6 +171,27 @@ class Synthetic:
         s = f"DE{check:02d}{body}"
         return " ".join(s[i : i + 4] for i in range(0, len(s), 4)) if self.rng.random() < 0.5 else s
 
+    def long_secret(self, good: bool, cue: str) -> tuple[str, str]:
+        """(cue before, span): keys and the later parts of signed tokens, against data, slugs and paths."""
+        url = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
+        base64 = url[:-2] + "+/"
+        n = int(2 ** self.rng.uniform(6, 11))
+        if good and self.rng.random() < 0.5:
+            before = "eyJ" + self.chars(url, int(self.rng.integers(17, 60))) + "."
+            if self.rng.random() < 0.5:
+                return cue + before, "eyJ" + self.chars(url, n) + "." + self.chars(url, int(self.rng.integers(43, 400)))
+            return cue + before + "eyJ" + self.chars(url, int(self.rng.integers(40, 400))) + ".", self.chars(url, n)
+        if good:
+            return cue, self.chars(self.pick(("0123456789abcdef", base64, url)), n) + self.pick(("", "", "=", "=="))
+        return self.pick((
+            (self.pick(("data:image/png;base64,", "src=data:font/woff;base64,", "image ", "")), self.chars(base64, n) + self.pick(("", "=", "=="))),
+            (cue, self.chars("0123456789abcdef", self.pick((64, 96, 128)))),
+            (self.pick(("see ", "www.host.org/", "")), "-".join(self.words(n // 6).split()) + "-" + self.digits(4)),
+            (self.pick(("file ", "/", "")), "/".join(self.words(n // 6).split()) + "/" + self.digits(1)),
+            (cue, self.digits(n)),
+            (cue, self.pick("-_=+").replace("=", "_") * n + self.digits(2)),
+        ))
+
     def row(self) -> tuple[str, str, bool]:
         """(cue before, span, label)"""
         r = self.rng.random
@@ -179,7 +200,9 @@ class Synthetic:
         good = r() < 0.5
         if kind == "secret":
             cue = self.pick(("token = \"", "TOKEN = \"", "api_key: ", "password=", "secret = '", "Bearer ", "auth_token=\"", "access key ")) if good else self.pick(("", "", "commit ", "sha256 ", "see ", "file ", "version ", "id ", "checksum: "))
-            if good:
+            if r() < 0.3:
+                cue, span = self.long_secret(good, cue)
+            elif good:
                 span = self.chars(self.pick((hexes, hexes.upper(), mixed)), int(self.rng.integers(20, 65)))
             else:
                 span = self.pick((self.chars(hexes, 40), self.chars(hexes, 32), "_".join(self.words(1).split() * 3) + self.digits(2), "-".join(self.words(4).split()) + "-" + self.digits(4), self.digits(18), "/".join(self.words(4).split()) + "/" + self.digits(1)))

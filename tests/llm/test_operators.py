@@ -54,6 +54,17 @@ def test_model_adds_secrets_and_leaves_look_alikes():
     assert only_model[~good].mean() < 0.08
 
 
+def test_secrets_of_any_length_are_found():
+    r = random.Random(7)
+    chars = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_") for _ in range(n))
+    for n in (64, 128, 129, 200, 1000, 5000):
+        key, head, payload, signature = chars(n), "eyJ" + chars(33), "eyJ" + chars(n), chars(342)
+        text = f'token = "{key}" and Bearer {head}.{payload}.{signature} end'
+        found = {(s, e) for _, s, e, _ in pii.find_spans([text])[1][0]}
+        assert {(text.index(x), text.index(x) + len(x)) for x in (key, payload, signature)} <= found, n
+        assert not pii.find_spans([f"img data:image/png;base64,{chars(n)} end"])[1][0]
+
+
 def test_pii_rows(spark):
     found = {r.doc_id: r for r in pii.pii_spans(docs(spark, ["mail a.b@c.de now", None, "", 'token = "0123456789abcdef0123456789abcdef01234567" x'])).collect()}
     assert found[0].redacted == "mail [email] now"

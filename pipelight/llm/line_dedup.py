@@ -30,8 +30,9 @@ from .neardup import linked
 
 SHINGLE = 8
 THRESHOLD = 0.8
-#: At a similarity of 0.8, 14 bands of 5 miss a pair with probability 0.004.
-BANDS, ROWS = 14, 5
+#: At a similarity of 0.8, 16 bands of 4 miss a pair with probability 0.0002; measured, the same to 0.0004
+#: for lines of 8 to 20 shingles, whose bins borrow from each other.
+BANDS, ROWS = 16, 4
 
 
 def minhash(units: np.ndarray, starts: np.ndarray, ends: np.ndarray, bins: int, n: int = SHINGLE) -> np.ndarray:

@@ -158,6 +158,18 @@ def test_connected_components(spark, monkeypatch, edges_per_task):
     assert got == {i: want[i] for a, b in pairs if a != b for i in (a, b)}
 
 
+def test_line_bands_keep_links_at_the_threshold():
+    r = np.random.default_rng(3)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz     ", dtype=np.uint8)
+    n, missed = 4000, 0
+    for shingles in (8, 12, 16, 20):
+        left = letters[r.integers(0, letters.size, (n, shingles + 7))]
+        right = np.concatenate([left, letters[r.integers(0, letters.size, (n, shingles // 4))]], axis=1)
+        a, b = (line_dedup.bands_of(line_dedup.minhash(line_dedup.H.BYTE_UNITS[x.reshape(-1)], at := np.arange(n) * x.shape[1], at + x.shape[1], line_dedup.BANDS * line_dedup.ROWS), line_dedup.BANDS, line_dedup.ROWS) for x in (left, right))
+        missed += int((a != b).all(axis=1).sum())
+    assert missed <= 0.001 * 4 * n
+
+
 @pytest.mark.parametrize("cell", [512, 3])
 def test_line_dedup_is_exact(spark, monkeypatch, cell):
     monkeypatch.setattr(neardup, "CELL", cell)

@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-#: Conversations of one opening and bucket, about, in the largest possible group.
+#: Conversations of one opening and bucket, about, in a group of GROUP_ROWS.
 BUCKET_ROWS = 10_000
+#: The number of buckets doesn't follow the table, so that conversations are paired alike at every size.
+GROUP_ROWS = 40_000_000
 
 
 def collected(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -69,7 +71,7 @@ def mask(turns: Column) -> Column:
 def pairs_by_opening(conversations: DataFrame) -> DataFrame:
     """(chosen_id, rejected_id) of conversations (id, turns) that open alike; rejected_id may be null."""
     openings = cut(conversations.where(F.size("turns") > 0).select("id", F.xxhash64(F.col("turns")[0]["role"], F.col("turns")[0]["text"]).alias("h1"), F.xxhash64(F.lit(1), F.col("turns")[0]["text"], F.col("turns")[0]["role"]).alias("h2")), "openings")
-    buckets = -(-openings.count() // BUCKET_ROWS) or 1
+    buckets = GROUP_ROWS // BUCKET_ROWS
 
     def two_by_two(rows: DataFrame, *more: str) -> DataFrame:
         order = Window.partitionBy("h1", "h2", *more).orderBy("id")

@@ -286,3 +286,10 @@ def test_every_conversation_stands_once_in_a_hot_opening(spark, monkeypatch):
     assert sorted(ids) == list(range(33)) and len(got) == 17
     given = chat_format.format_preferences(turns, spark.createDataFrame([(3, 9)], "chosen_id long, rejected_id long")).collect()
     assert [(x.prompt, x.chosen[-9:]) for x in given] == [("<|user|>\nhi<|end|>\n", "3<|end|>\n")]
+
+
+def test_conversations_are_paired_alike_at_every_size(spark):
+    rows = spark.range(20_040).selectExpr("id", "array(named_struct('role', 'user', 'text', if(id < 40, 'hi', string(id)))) AS turns")
+    pairs = lambda df: sorted(tuple(x) for x in chat_format.pairs_by_opening(df).collect() if x.chosen_id < 40)
+    alone = pairs(rows.where("id < 40"))
+    assert len(alone) == 20 and alone == pairs(rows)

@@ -54,7 +54,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best_fit_packing", packing),
 ]
 
-#: SQL expresses neither the learned grammar nor the tokenizer; tests hold run() against brute force.
+#: SQL expresses neither the learned grammar nor the tokenizer.  Tests compare run() with these stages applied one
+#: by one and check row counts; only single operators are held against brute force, the chain is not.
 ORACLE_SQL = None
 
 

@@ -105,7 +105,11 @@ def bands_of(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
-def _sign(batches):
+SIGNED = "key long, e1 long, e2 long, n long, bands array<long>"
+
+
+def sign(batches):
+    """(key, binary text) to SIGNED: two hashes of all words, their number and the buckets of the bands."""
     for batch in batches:
         keys = batch.column(0)
         for a, b, data, offsets in H.pieces(batch.column(1)):
@@ -181,7 +185,7 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def _classes(own: DataFrame, threshold: float) -> DataFrame:
     """(key, class_key) of the documents that are alone in no class."""
-    signed = cut(own.select("key", F.col("text").cast("binary").alias("text")).mapInArrow(_sign, "key long, e1 long, e2 long, n long, bands array<long>"), "signed")
+    signed = cut(own.select("key", F.col("text").cast("binary").alias("text")).mapInArrow(sign, SIGNED), "signed")
     equal = cut(signed.groupBy("e1", "e2", "n").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "equal")
     copied = equal.where("copies > 1").select("e1", "e2", "n", "first")
     copies = signed.select("key", "e1", "e2", "n").join(small(copied, copied.count(), 64), ["e1", "e2", "n"]).select(F.col("first").alias("a"), F.col("key").alias("b")).where("a <> b")

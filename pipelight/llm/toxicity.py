@@ -9,14 +9,23 @@ a clause's symbols one after another and are composed into one machine:
 * threat does so for threats.
 
 A clause scores the sum of its hits' lexical weights times the weights of what the machine made of
-them.  Lexical weights (smoothed log odds of whole words and of word beginnings) and the logistic
-model over a text's clause scores are learned from labelled rows; the rows whose crc32 of the id is
-1 modulo 3 are never learned from.  The lexicon and the model have bounded size, and so has the
-sample they are fitted on: SAMPLE_ROWS labelled rows, those with the least hash of their id.
+them, and a text is judged by its clauses' scores alone: the greatest, the sum, and the sum in
+proportion to the text's length.
+
+The lexicon (whole words and beginnings of words, with their smoothed log odds) and the logistic
+model over clause scores are learned from labelled rows; rows whose crc32 of the id is 1 modulo 3
+are never learned from.  The sample is bounded: SAMPLE_ROWS labelled ids, those with the least hash.
+Copies are no evidence: one text of each class of near duplicates in the sample is learned from.
+Patterns are chosen one after another, each for the toxic texts that those before it don't explain
+yet, as long as it is significant among all patterns of the sample (Bonferroni); so a few general
+patterns are kept rather than every word that toxic texts happen to share, and the lexicon (at most
+LEXICON_SIZE patterns) doesn't grow with the sample.  The model is fitted on scores that each fold
+of the sample gets from a lexicon of the other folds.
 
 Defined results: a null or empty text has no clauses and gets the score of a text without hits; ids
-may be null or repeated, each row is scored; without any labels the seed words below are used with a
-fixed model; an empty table gives an empty result.
+may be null or repeated, each row is scored (of an id's several texts the least one is learned
+from); an id with conflicting labels is not learned from; without toxic and clean labels the seed
+words below are used with a fixed model; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,12 +41,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from .common import cut, table
+from .minhash_dedup import SIGNED, sign
 
+#: Labelled ids that are learned from, at most.
 SAMPLE_ROWS = 12_000
-LEXICON_SIZE = 3_000
+#: Patterns of a lexicon, at most.
+LEXICON_SIZE = 1_000
 THRESHOLD = 0.7
 #: Lengths of word beginnings that may be learned.
-STEMS = range(4, 9)
+STEMS = range(3, 9)
+FOLDS = 4
+#: Weight of patterns at which a text counts as explained; also the greatest weight of a pattern.
+EXPLAINED = 6.0
 
 # Fixed word lists.
 SEED_INSULTS = ("idiot", "moron", "stupid", "scum", "trash", "loser", "pathetic", "worthless", "disgusting", "clown")
@@ -143,22 +158,21 @@ class Scorer:
                     break
         return found or 0.0
 
-    def clause(self, tokens: list[str]) -> tuple[float, int, float]:
-        """Score, number of hits and greatest lexical weight of a clause."""
-        state, total, hits, most, last = self.machine.start, 0.0, 0, 0.0, 1.0
+    def clause(self, tokens: list[str]) -> float:
+        """Score of a clause."""
+        state, total, last = self.machine.start, 0.0, 1.0
         for token in tokens:
             w = self.weight(token)
             symbol = INSULT if w > 0 else THREAT if token in THREATS else TARGET if token in TARGETS else NEGATION if token in NEGATIONS else REPORT if token in REPORTS else OTHER
             state, out = self.machine.step(state, symbol)
             if symbol == INSULT:
-                hits += 1
-                most, last = max(most, w), w
+                last = w
             if out in OUTPUT_WEIGHTS:
                 total += OUTPUT_WEIGHTS[out] * (w if symbol == INSULT else last if out == "b" else 1.0)
-        return total, hits, most
+        return total
 
-    def features(self, text: str) -> tuple[float, ...]:
-        """Best clause, sum of clauses (log), hits (log), hits in 100 words, greatest weight, length (log)."""
+    def features(self, text: str) -> tuple[float, float, float]:
+        """Greatest clause score, sum of the scores (log), sum of the scores by length (log)."""
         low = text.lower()
         n = len(low)
         starts = []
@@ -166,51 +180,86 @@ class Scorer:
             at = end - size + 1
             if at == 0 or not low[at - 1].isalnum():
                 starts.append(at)
-        size = n / 6 + 1  # words, about
         if not starts:
-            return (0.0, 0.0, 0.0, 0.0, 0.0, float(np.log(size)))
+            return (0.0, 0.0, 0.0)
         starts.sort()
-        best = total = most = 0.0
-        hits, done = 0, 0
-        begin = 0
+        best = total = 0.0
+        done = begin = 0
         for m in [*_CLAUSE.finditer(low), None]:
             end = m.start() if m else n
-            if done < len(starts) and starts[done] < end:
+            if starts[done] < end:
                 while done < len(starts) and starts[done] < end:
                     done += 1
-                score, k, w = self.clause(_TOKEN.findall(low, begin, end))
-                best, total, hits, most = max(best, score), total + score, hits + k, max(most, w)
+                score = self.clause(_TOKEN.findall(low, begin, end))
+                best, total = max(best, score), total + score
                 if done == len(starts):
                     break
             begin = m.end() if m else n
-        return (best, float(np.log1p(max(0.0, total))), float(np.log1p(hits)), 100.0 * hits / size, most, float(np.log(size)))
+        return (best, float(np.log1p(total)), float(np.log1p(100.0 * total / (n / 6 + 1))))
 
 
-N_FEATURES = 6
+N_FEATURES = 3
 
 
-def fit_lexicon(counts: list[tuple[str, int, int]], n_clean: int, n_toxic: int) -> dict[str, float]:
-    """Patterns with their smoothed log odds, at most LEXICON_SIZE; counts: pattern, clean, toxic texts."""
-    found = []
-    for pattern, clean, toxic in counts:
-        odds = np.log((toxic + 0.25) / (n_toxic + 1)) - np.log((clean + 0.25 + 0.02 * clean) / (n_clean + 1))
-        if toxic >= 3 and odds >= 1.6 and toxic * odds >= 9:
-            found.append((odds * np.sqrt(toxic), pattern, float(min(odds, 6.0))))
-    found.sort(reverse=True)
-    return {pattern: odds for _, pattern, odds in found[:LEXICON_SIZE]}
+def evidence(a, n1, b, n0):
+    """Log likelihood ratio, in nats, of a pattern in a of n1 toxic and b of n0 clean texts against one rate for both."""
+    a, b = np.asarray(a, dtype=float), np.asarray(b, dtype=float)
+    term = lambda k, n, p: np.where(k > 0, k * np.log(np.maximum(k, 1e-300) / np.maximum(n * p, 1e-300)), 0.0)
+    p = (a + b) / (n1 + n0)
+    return np.where(a * n0 > b * n1, term(a, n1, p) + term(n1 - a, n1, 1 - p) + term(b, n0, p) + term(n0 - b, n0, 1 - p), 0.0)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 60) -> np.ndarray:
-    """Weights (the last is the intercept) on standardised features, by Newton's method; raw scale."""
+def fit_lexicon(patterns: list[str], texts: list[np.ndarray], toxic: np.ndarray, least: float) -> dict[str, float]:
+    """Weights of the patterns that explain toxic texts; texts: the places in patterns of those that each text has.
+
+    Step by step, the pattern with the most evidence (times its weight, which prefers precise ones)
+    among toxic texts that aren't explained yet, and all clean ones, is taken, until none has `least` nats.
+    """
+    lists, n1 = [x for x, t in zip(texts, toxic, strict=True) if t], int(toxic.sum())
+    n0 = len(texts) - n1
+    size = len(patterns)
+    count = lambda rows: np.bincount(np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64), minlength=size)
+    clean, all_toxic = count(x for x, t in zip(texts, toxic, strict=True) if not t), count(lists)
+    weight = np.minimum(EXPLAINED, np.log((all_toxic + 0.5) / (n1 + 1)) - np.log((clean + 0.5) / (n0 + 1)))
+    found: dict[str, float] = {}
+    have, open_, left, usable = np.zeros(n1), np.ones(n1, dtype=bool), all_toxic.copy(), weight >= 1
+    while usable.any() and open_.any() and len(found) < LEXICON_SIZE:
+        gain = np.where(usable & (left >= 3), evidence(left, int(open_.sum()), clean, n0), 0.0)
+        best = int(np.argmax(np.where(gain >= least, gain * weight, 0.0)))
+        if gain[best] < least:
+            break
+        found[patterns[best]] = float(weight[best])
+        usable[best] = False
+        for i in np.flatnonzero(open_):
+            if best in lists[i]:
+                have[i] += weight[best]
+                if have[i] >= EXPLAINED - 1e-9:
+                    open_[i] = False
+                    left[lists[i]] -= 1
+    return found
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 100) -> np.ndarray:
+    """Weights (the last is the intercept) on standardised features, by damped Newton steps; raw scale."""
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.concatenate([(x - mean) / scale, np.ones((len(x), 1))], axis=1)
+    penalty = np.diag([ridge] * (z.shape[1] - 1) + [1e-3])
+
+    def loss(w):
+        m = z @ w
+        return float(np.logaddexp(0, m).sum() - y @ m + 0.5 * w @ penalty @ w)
+
     w = np.zeros(z.shape[1])
-    penalty = np.diag([ridge] * (z.shape[1] - 1) + [1e-6]) * 1.0
+    now = loss(w)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p) + 1e-6)[:, None]).T @ z + penalty, z.T @ (y - p) - penalty @ w)
-        w += step
-        if np.abs(step).max() < 1e-6:
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + penalty, z.T @ (y - p) - penalty @ w)
+        size = 1.0
+        while size > 1e-6 and loss(w + size * step) > now:  # the loss is convex: a short enough step lowers it
+            size /= 2
+        w = w + size * step
+        before, now = now, loss(w)
+        if before - now < 1e-9 * (1 + abs(now)):
             break
     raw = w[:-1] / scale
     return np.append(raw, w[-1] - raw @ mean)
@@ -220,44 +269,80 @@ def held_out(id_col: Column) -> Column:
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(3)) == 1
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[dict[str, float], np.ndarray]:
-    """(lexicon, weights) from a bounded sample of the rows that may be learned from.
+def _patterns(text: str) -> set[str]:
+    words = set(_TOKEN.findall(text.lower()))
+    return {w for w in words if 3 <= len(w) <= 24} | {w[:k] + "*" for w in words for k in STEMS if len(w) > k}
 
-    The model is fitted on scores that each half of the sample gets from the other half's lexicon.
-    """
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where(F.col("id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("id"))).dropDuplicates(["id"])
+
+def _representatives(signed: list[tuple[int, list[int]]]) -> list[int]:
+    """The least row of each class of near duplicates; signed: row, bands."""
+    parent = {row: row for row, _ in signed}
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    first: dict[int, int] = {}
+    for row, bands in signed:
+        for band in bands:
+            a, b = find(first.setdefault(band, row)), find(row)
+            parent[max(a, b)] = min(a, b)
+    return [row for row in parent if find(row) == row]
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[dict[str, float], np.ndarray]:
+    """(lexicon, weights) from a bounded sample of the rows that may be learned from."""
+    toxic = F.col(label_col).cast("int")
+    known = labels.select(F.col(id_col).alias("id"), toxic.alias("toxic")).where(F.col("id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("id")))
+    known = known.groupBy("id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").drop("most")
     sample = known.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)  # bounded by SAMPLE_ROWS
-    rows = cut(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "id").select((F.pmod(F.xxhash64("id", F.lit(7)), F.lit(2))).cast("int").alias("half"), "toxic", "text"), "sample")
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(sample), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    rows = cut(rows.repartition(16, F.xxhash64("id")).withColumn("row", F.monotonically_increasing_id()).select("row", "toxic", "text"), "sample")
+    signed = rows.select("row", F.col("text").cast("binary").alias("text")).mapInArrow(sign, SIGNED).where("n > 0").select("key", "bands").orderBy("key").collect()  # at most SAMPLE_ROWS rows
+    chosen = rows.sparkSession.createDataFrame([(r,) for r in _representatives([tuple(x) for x in signed])], "row long")
+    rows = cut(rows.join(F.broadcast(chosen), "row").withColumn("fold", F.pmod(F.xxhash64("row"), F.lit(FOLDS)).cast("int")).select("fold", "toxic", "text"), "sample")
+    tally = {(r["fold"], r["toxic"]): r["n"] for r in rows.groupBy("fold", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    seeds = {w: EXPLAINED for w in SEED_INSULTS}
+    if not all(tally.get((f, t)) for f in range(FOLDS) for t in (0, 1)):
+        return seeds, np.array([0.8, 0.5, 0.2, -5.0])
+    n0, n1 = (sum(n for (_, t), n in tally.items() if t == x) for x in (0, 1))
 
     def count(batches):
-        seen: dict[tuple[int, int], Counter] = {}
+        seen = (Counter(), Counter())
         for batch in batches:
-            for half, toxic, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                words = set(_TOKEN.findall(text.lower()))
-                own = seen.setdefault((half, toxic), Counter())
-                own.update(w for w in words if 3 <= len(w) <= 24)
-                own.update({w[:k] + "*" for w in words for k in STEMS if len(w) > k})
-        for (half, toxic), own in seen.items():
-            yield pa.record_batch([pa.array([*own], pa.string()), pa.array([half] * len(own), pa.int32()), pa.array([toxic] * len(own), pa.int32()), pa.array([*own.values()], pa.int64())], names=["pattern", "half", "toxic", "n"])
-
-    tallies = {(r["half"], r["toxic"]): r["n"] for r in rows.groupBy("half", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n = lambda half, toxic: tallies.get((half, toxic), 0)
-    if not all(n(h, t) for h in (0, 1) for t in (0, 1)):
-        return {w: 5.0 for w in SEED_INSULTS}, np.array([0.8, 0.5, 0.5, 0.0, 0.3, 0.0, -4.0])
-    sums = [F.coalesce(F.sum(F.when((F.col("half") == h) & (F.col("toxic") == t), F.col("n"))), F.lit(0)).alias(f"n{h}{t}") for h in (0, 1) for t in (0, 1)]
-    counts = rows.mapInArrow(count, "pattern string, half int, toxic int, n long").groupBy("pattern").agg(*sums)
-    # patterns that may enter some lexicon: few, for they have to be frequent in toxic texts and rare in others
-    base = (n(0, 0) + n(1, 0)) / max(1, n(0, 1) + n(1, 1))
-    strong = counts.where((F.col("n01") + F.col("n11") >= 3) & ((F.col("n01") + F.col("n11")) * base > 2.5 * (F.col("n00") + F.col("n10"))))
-    got = [tuple(r) for r in strong.orderBy(F.desc(F.col("n01") + F.col("n11") - F.col("n00") - F.col("n10")), "pattern").limit(10 * LEXICON_SIZE).collect()]
-    seeds = {w: 3.0 for w in SEED_INSULTS}
-    halves = [seeds | fit_lexicon([(r[0], r[1 + 2 * h], r[2 + 2 * h]) for r in got], n(h, 0), n(h, 1)) for h in (0, 1)]
-    whole = seeds | fit_lexicon([(r[0], r[1] + r[3], r[2] + r[4]) for r in got], n(0, 0) + n(1, 0), n(0, 1) + n(1, 1))
+            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen[toxic].update(_patterns(text))
+        for toxic, own in enumerate(seen):
+            yield pa.record_batch([pa.array([*own], pa.string()), pa.array([toxic * n for n in own.values()], pa.int64()), pa.array([(1 - toxic) * n for n in own.values()], pa.int64())], names=["pattern", "a", "b"])
+
+    counts = cut(rows.select("toxic", "text").mapInArrow(count, "pattern string, a long, b long").groupBy("pattern").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "patterns")
+    least = float(np.log(counts.count()) + 2)
+    # a pattern that isn't significant among all toxic texts may be so among fewer; none is without three of them
+    able = counts.where((F.col("a") >= 3) & (F.col("a") * F.lit(n0) > F.col("b") * F.lit(2.5 * n1))).orderBy(F.desc(F.col("a") * F.log(F.col("a") * F.lit(n0 + 1) / ((F.col("b") + 0.5) * F.lit(n1)))), "pattern")
+    patterns = [r["pattern"] for r in able.limit(30 * LEXICON_SIZE).collect()]
+    place = {p: i for i, p in enumerate(patterns)}
+
+    def find(batches):
+        for batch in batches:
+            own = [sorted(place[p] for p in _patterns(text) if p in place) for text in batch.column(2).to_pylist()]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(own, pa.list_(pa.int32()))], names=["fold", "toxic", "has"])
+
+    found = rows.mapInArrow(find, "fold int, toxic int, has array<int>").toArrow()  # at most SAMPLE_ROWS rows
+    fold, toxic = found.column("fold").to_numpy(), found.column("toxic").to_numpy()
+    has = [np.array(x, dtype=np.int64) for x in found.column("has").to_pylist()]
+
+    def lexicon(keep: np.ndarray) -> dict[str, float]:
+        return seeds | fit_lexicon(patterns, [x for x, k in zip(has, keep, strict=True) if k], toxic[keep], least)
+
+    whole, others = lexicon(fold >= 0), [lexicon(fold != f) for f in range(FOLDS)]
 
     def features(batches):
-        scorers = [Scorer(lexicon) for lexicon in halves]
+        scorers = [Scorer(x) for x in others]
         for batch in batches:
-            out = [scorers[1 - half].features(text) for half, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            out = [scorers[f].features(text) for f, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.record_batch([batch.column(1), pa.array([list(x) for x in out], pa.list_(pa.float64()))], names=["toxic", "x"])
 
     scored = rows.mapInArrow(features, "toxic int, x array<double>").collect()  # at most SAMPLE_ROWS rows

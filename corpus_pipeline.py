@@ -2,6 +2,11 @@
 
 Each stage works on all that its predecessor kept and, but for the last, returns the columns of
 documents.  Packing gives the pieces of the documents that remain and where they are placed.
+
+Defined results, for each stage: a null text counts as an empty one and stays as it is unless a line
+of it goes; null ids and nulls in other columns stay; rows that repeat an id and a text are each
+judged, and near-duplicate removal keeps one of them; an empty table gives an empty result; further
+columns, whatever their names, are carried along.
 """
 
 from __future__ import annotations
@@ -37,8 +42,8 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark passages cover a twentieth or more go."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=docs.columns).where("not contaminated").select("rest.*")
+    """Documents that hold a benchmark passage go, however small a part of them it is."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=docs.columns).where("n_hit = 0").select("rest.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

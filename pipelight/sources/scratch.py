@@ -5,21 +5,32 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialize(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write df as Parquet where every executor finds it, and read it again.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir.
 
-    The folder is spark.checkpoint.dir; only where none is set (tests) a temporary one is made.
+    Where none is set, a temporary one is made if everything runs on this machine (tests); on a
+    cluster that would be a folder that other machines don't see, and so it is an error.
     """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pipelight-"))
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pipelight-"))
         folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/pipelight/{name}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def materialize(df: DataFrame, name: str = "t") -> DataFrame:
+    """Write df as Parquet in the shared folder and read it again.
+
+    This cuts lineage like checkpoint() does, but the copy is columnar and compressed, and a lost
+    executor loses none of it.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/pipelight/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

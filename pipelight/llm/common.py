@@ -6,13 +6,17 @@ indifferent to any further columns and their names.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize as cut
+
+__all__ = ["cut", "keyed", "lean", "small", "table"]
+
 #: A side whose estimated size is at most this is broadcast; beyond it the join is shuffled.
 BROADCAST_LIMIT_BYTES = 48 << 20
 
@@ -21,26 +25,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a folder of our own only where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pipelight-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], most: int = 4 << 20) -> Callable:
+    """run for mapInArrow, fed with slices of about `most` bytes: a worker then holds, and sends on, no
+    more than what comes of one slice, however long the rows of a batch are."""
 
+    @wraps(run)
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pieces() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                step = max(1, batch.num_rows * most // max(1, batch.nbytes))
+                for at in range(0, batch.num_rows, step):
+                    yield batch.slice(at, step)
+                pa.default_memory_pool().release_unused()
 
-def cut(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again.
+        yield from run(pieces())
 
-    This cuts lineage like checkpoint() does, but the copy is columnar and compressed, and a lost
-    executor loses none of it.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/pipelight/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return sliced
 
 
 def small(df: DataFrame, rows: int, bytes_per_row: int) -> DataFrame:
@@ -51,9 +51,10 @@ def small(df: DataFrame, rows: int, bytes_per_row: int) -> DataFrame:
 def keyed(docs: DataFrame, id_col: str, text_col: str, keep: Sequence[str] = ()) -> DataFrame:
     """(key, id, text[, rest]) with a unique, non-null long key whose order is the order of the ids.
 
-    Whole ids that are unique and not null are their own keys.  Otherwise rows that repeat both id
-    and text become one, rows are sorted by id (null first) and text, and the key is their rank.
-    Null texts become empty.  rest is a struct of the columns named in keep, if there are any.
+    Whole ids that are unique and not null are their own keys.  Otherwise rows are sorted by id (null
+    first) and text, and the key is their rank: every row is kept, and rows that repeat an id, or an
+    id and a text, are documents of their own.  Null texts become empty.  rest is a struct of the
+    columns named in keep, if there are any.
     """
     rest = [F.struct(*(F.col(f"`{c}`") for c in keep)).alias("rest")] if keep else []
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *rest)
@@ -62,5 +63,5 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, keep: Sequence[str] = ())
         n, present = own.agg(F.count(F.lit(1)), F.count("id")).first()
         if n == present and not own.groupBy("id").count().where("count > 1").limit(1).count():
             return own.select(F.col("id").cast("long").alias("key"), "id", *names)
-    ranked = own.dropDuplicates(["id", "text"]).sort("id", "text").withColumn("key", F.monotonically_increasing_id())
+    ranked = own.sort("id", "text").withColumn("key", F.monotonically_increasing_id())
     return cut(ranked.select("key", "id", *names), "keyed")

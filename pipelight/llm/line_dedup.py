@@ -6,8 +6,8 @@ signatures, banded for high recall at the threshold, propose pairs; their Jaccar
 computed exactly; links become components by distributed union-find; the line that comes first (by
 document id, then by place) stays.
 
-Defined results: a null text has no lines; blank lines always stay; rows that repeat both id and
-text are one document; an empty table gives an empty result.
+Defined results: a null text has no lines; blank lines always stay; rows that repeat an id and a text
+are documents of their own, of which the first keeps its lines; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from . import hashing as H
-from .common import cut, keyed, small, table
+from .common import cut, keyed, lean, small, table
 from .components import connected_components
 from .minhash_dedup import bands_of
 from .neardup import linked
@@ -35,33 +35,41 @@ THRESHOLD = 0.8
 BANDS, ROWS = 16, 4
 
 
-def minhash(units: np.ndarray, starts: np.ndarray, ends: np.ndarray, bins: int, n: int = SHINGLE) -> np.ndarray:
-    """One-permutation MinHash signatures of units[start:end]; empty bins borrow from filled ones."""
+def grams(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on, as an integer; zeros follow the last byte."""
+    padded = np.concatenate([data, np.zeros(SHINGLE, np.uint8)])
+    return np.ndarray(shape=(data.size,), dtype="<u8", buffer=padded, strides=(1,))
+
+
+def _shorten(found: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of lines shorter than a shingle: their bytes, and in the free last byte their length."""
+    size = size.astype(np.uint64)
+    return found & ((np.uint64(1) << (np.uint64(8) * size)) - np.uint64(1)) | size << np.uint64(56)
+
+
+def minhash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, bins: int) -> np.ndarray:
+    """One-permutation MinHash signatures of data[start:end]; empty bins borrow from filled ones."""
     sizes = ends - starts
-    many = np.maximum(sizes - n + 1, 1)
-    line = np.repeat(np.arange(starts.size), many)
-    at = np.arange(line.size) - np.repeat(np.cumsum(many) - many, many) + starts[line]
-    hashes = H.ranges(H.prefix_sums(units), at, np.minimum(at + n, ends[line]))
-    # the bin is the high part of the hash, so sorting by (line, hash) sorts by bin as well
+    many = np.maximum(sizes - SHINGLE + 1, 1)
+    first = np.cumsum(many) - many
+    found = grams(data)[np.arange(int(many.sum())) + np.repeat(starts - first, many)]
+    short = np.flatnonzero(sizes < SHINGLE)
+    found[first[short]] = _shorten(found[first[short]], sizes[short])
+    hashes = H.mix(found)
     slot = (hashes >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)
-    key = (line.astype(np.uint64) * np.uint64(bins) + slot) << np.uint64(32) | (hashes & np.uint64(0xFFFFFFFF))
     least = np.full(starts.size * bins, np.iinfo(np.uint64).max, dtype=np.uint64)
-    key.sort()
-    where = (key >> np.uint64(32)).astype(np.int64)
-    first = np.concatenate([[True], where[1:] != where[:-1]]) if where.size else np.empty(0, bool)
-    least[where[first]] = key[first] & np.uint64(0xFFFFFFFF)
+    np.minimum.at(least, slot.astype(np.int64) + np.repeat(np.arange(starts.size) * bins, many), hashes & np.uint64(0xFFFFFFFF))
     table_ = least.reshape(-1, bins)
     # optimal densification: an empty bin takes the value of a bin chosen by hash, the same for all lines
-    empty = table_ == np.iinfo(np.uint64).max
+    filled = table_ != np.iinfo(np.uint64).max
+    rows, cols = np.nonzero(~filled)
     attempt = 0
-    filled = ~empty
-    while empty.any():
+    while rows.size:
         attempt += 1
-        rows, cols = np.nonzero(empty)
         take = (H.mix(cols.astype(np.uint64) + np.uint64(attempt * 1000003)) % np.uint64(bins)).astype(np.int64)
         good = filled[rows, take]
         table_[rows[good], cols[good]] = H.mix(table_[rows[good], take[good]])
-        empty[rows[good], cols[good]] = False
+        rows, cols = rows[~good], cols[~good]
     return table_
 
 
@@ -83,20 +91,24 @@ def _sign(batches):
         for a, _, data, offsets in H.pieces(batch.column(1)):
             raw = data.tobytes()
             first: dict[int, tuple[int, int, int, int]] = {}
+            again: dict[int, int] = {}
             for i in range(offsets.size - 1):
                 text = raw[offsets[i] : offsets[i + 1]]
                 for place, (begin, end) in enumerate(_lines(text)):
                     if end > begin:
                         h = xxhash.xxh3_64_intdigest(text[begin:end])
                         key = int(keys[a + i])
+                        if h in first:
+                            again[h] = again.get(h, 0) + 1
                         if h not in first or (key, place) < first[h][:2]:
                             first[h] = (key, place, int(offsets[i]) + begin, int(offsets[i]) + end)
             if not first:
                 continue
             ids = np.fromiter(first, dtype=np.uint64, count=len(first)).view(np.int64)
             key, place, begin, end = np.array(list(first.values()), dtype=np.int64).T
-            buckets = bands_of(minhash(H.BYTE_UNITS[data], begin, end, BANDS * ROWS), BANDS, ROWS)
-            yield pa.record_batch([pa.array(ids), pa.array(key), pa.array(place.astype(np.int32)), pa.array([x.tobytes() for x in buckets], pa.binary())], names=["id", "key", "place", "bands"])
+            buckets = bands_of(minhash(data, begin, end, BANDS * ROWS), BANDS, ROWS)
+            n = np.array([1 + again.get(h, 0) for h in first], dtype=np.int64)
+            yield pa.record_batch([pa.array(ids), pa.array(key), pa.array(place.astype(np.int32)), pa.array(n), pa.array([x.tobytes() for x in buckets], pa.binary())], names=["id", "key", "place", "n", "bands"])
 
 
 def jaccard(left: bytes, right: bytes) -> float:
@@ -107,17 +119,17 @@ def jaccard(left: bytes, right: bytes) -> float:
 
 
 def elements_of(line: bytes) -> np.ndarray:
-    """The hashes of a line's shingles, each once."""
+    """A line's shingles as integers, each once."""
     data = np.frombuffer(line, dtype=np.uint8)
-    at = np.arange(max(1, data.size - SHINGLE + 1))
-    return np.unique(H.ranges(H.prefix_sums(H.BYTE_UNITS[data]), at, np.minimum(at + SHINGLE, data.size)))
+    found = grams(data)[: max(1, data.size - SHINGLE + 1)]
+    return np.unique(_shorten(found, np.array([data.size])) if data.size < SHINGLE else found)
 
 
 def repeated_lines(own: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, component, key, place) of lines in components of more than one text, where id is a
-    line's hash and (key, place) the first occurrence of any line of the component."""
-    found = own.select("key", F.col("text").cast("binary").alias("text")).mapInArrow(_sign, "id long, key long, place int, bands binary")
-    lines = cut(found.groupBy("id").agg(F.min(F.struct("key", "place")).alias("first"), F.first("bands").alias("bands")), "lines")
+    """(id, component, first) of the lines that occur more than once or are similar to others: id is a
+    line's hash and first the (key, place) of the first occurrence of any line of its component."""
+    found = own.select("key", F.col("text").cast("binary").alias("text")).mapInArrow(lean(_sign), "id long, key long, place int, n long, bands binary")
+    lines = cut(found.groupBy("id").agg(F.min(F.struct("key", "place")).alias("first"), F.sum("n").alias("n"), F.first("bands").alias("bands")), "lines")
 
     def unpack(batches):
         for batch in batches:
@@ -144,8 +156,8 @@ def repeated_lines(own: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         if held is not None and held[0].size > 1:
             yield pa.record_batch([pa.array(held[0]), pa.array(held[1])], names=["bucket", "id"])
 
-    pairs = lines.select("id", "bands").mapInArrow(unpack, "bucket long, id long")
-    met = cut(pairs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(crowded, "bucket long, id long").distinct(), "met")
+    pairs = lines.select("id", "bands").mapInArrow(lean(unpack), "bucket long, id long")
+    met = cut(pairs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(crowded, "bucket long, id long"), "met")
     wanted = cut(met.select("id").distinct().join(lines.select("id", "first"), "id"), "wanted")
 
     def elements(kind):
@@ -170,13 +182,14 @@ def repeated_lines(own: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         by_text = places.groupBy("key").agg(F.collect_list("line").alias("lines"))
         rows = own.join(small(by_text, places.count(), 80), "key").select(F.col("text").cast("binary").alias("text"), "lines")
         info = asked.schema["info"]
-        return rows.mapInArrow(elements(to_arrow_type(info.dataType)), StructType([StructField("id", LongType()), info, StructField("elements", BinaryType())]))
+        return rows.mapInArrow(lean(elements(to_arrow_type(info.dataType)), 1 << 20), StructType([StructField("id", LongType()), info, StructField("elements", BinaryType())]))
 
     classes = cut(connected_components(linked(met, fetch, threshold)), "classes")
     members = classes.join(wanted, "id")
     first = members.groupBy("component").agg(F.min("first").alias("first"))
     similar = members.select("id", "component").join(first, "component")
-    return cut(lines.select("id", F.col("first").alias("own")).join(similar, "id", "left").select("id", F.coalesce("first", "own").alias("first"), F.coalesce("component", "id").alias("component")), "first")
+    found = lines.select("id", "n", F.col("first").alias("own")).join(similar, "id", "left").where("n > 1 or component is not null")
+    return cut(found.select("id", F.coalesce("first", "own").alias("first"), F.coalesce("component", "id").alias("component")), "first")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keep: Sequence[str] = ()) -> DataFrame:
@@ -199,16 +212,17 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         ids.append(xxhash.xxh3_64_intdigest(text[begin:end]))
             yield pa.record_batch([pa.array(np.array(ids, dtype=np.uint64).view(np.int64)), pa.array(keys, pa.int64()), pa.array(places, pa.int32())], names=["id", "key", "place"])
 
-    all_lines = own.select("key", F.col("text").cast("binary").alias("text")).mapInArrow(occurrences, "id long, key long, place int")
-    gone = all_lines.join(first.select("id", "first"), "id").where((F.col("first.key") != F.col("key")) | (F.col("first.place") != F.col("place")))
+    all_lines = own.select("key", F.col("text").cast("binary").alias("text")).mapInArrow(lean(occurrences), "id long, key long, place int")
+    gone = all_lines.join(small(first.select("id", "first"), first.count(), 48), "id").where((F.col("first.key") != F.col("key")) | (F.col("first.place") != F.col("place")))
     gone = cut(gone.groupBy("key").agg(F.array_sort(F.collect_list("place")).alias("gone")), "gone")
     n, total = gone.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
     parts = F.split("text", "\n")
+    n_lines = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
     joined = own.join(small(gone, 1, 40 * n + 8 * total), "key", "left")
-    stays = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "gone"), lambda i: F.element_at(parts, i + 1))
-    n_removed = F.coalesce(F.size("gone"), F.lit(0))
+    # the parts are bound to a variable, for within a lambda they would be split again for every line
+    kept = F.transform(F.array(parts), lambda p: F.concat_ws("\n", F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), "gone"), lambda i: F.element_at(p, i + 1))))[0]
     return joined.select(
-        F.col("id").alias(id_col), "text", F.when(F.col("text") == "", 0).otherwise(F.size(parts)).cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(n_removed).cast("long").alias("n_removed"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.concat_ws("\n", stays)).alias("kept"), *(["rest"] if keep else [])
+        F.col("id").alias(id_col), "text", F.when(F.col("text") == "", 0).otherwise(n_lines).cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("kept"), *(["rest"] if keep else [])
     )
 
 

@@ -9,8 +9,8 @@ hundred darts.  The earliest dart of a coordinate is the same for two documents
 equal to their weighted Jaccard similarity.  Signatures are cut into bands for joining; candidate
 pairs are verified exactly, and links become classes by distributed union-find.
 
-Defined results: a null text is empty; texts without words are alike; rows that repeat both id and
-text are one document; an empty table gives an empty result.
+Defined results: a null text is empty; texts without words are alike; rows that repeat an id and a text
+are documents of their own, of which one is kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from . import hashing as H
-from .common import cut, keyed, small, table
+from .common import cut, keyed, lean, small, table
 from .components import connected_components
 from .neardup import linked
 
@@ -162,7 +162,7 @@ def _fetch(own: DataFrame) -> Callable[[DataFrame], DataFrame]:
     def fetch(wanted: DataFrame) -> DataFrame:
         wanted = cut(wanted, "wanted")
         rows = own.join(small(wanted.withColumnRenamed("id", "key"), wanted.count(), 64), "key").select(F.col("key").alias("id"), "info", F.col("text").cast("binary").alias("text"))
-        return rows.mapInArrow(_elements, StructType([*rows.schema.fields[:2], StructField("elements", BinaryType())]))
+        return rows.mapInArrow(lean(_elements), StructType([*rows.schema.fields[:2], StructField("elements", BinaryType())]))
 
     return fetch
 
@@ -185,12 +185,12 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def _classes(own: DataFrame, threshold: float) -> DataFrame:
     """(key, class_key) of the documents that are alone in no class."""
-    signed = cut(own.select("key", F.col("text").cast("binary").alias("text")).mapInArrow(sign, SIGNED), "signed")
+    signed = cut(own.select("key", F.col("text").cast("binary").alias("text")).mapInArrow(lean(sign), SIGNED), "signed")
     equal = cut(signed.groupBy("e1", "e2", "n").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "equal")
     copied = equal.where("copies > 1").select("e1", "e2", "n", "first")
     copies = signed.select("key", "e1", "e2", "n").join(small(copied, copied.count(), 64), ["e1", "e2", "n"]).select(F.col("first").alias("a"), F.col("key").alias("b")).where("a <> b")
     buckets = equal.where("n > 0").select(F.col("first").alias("id"), F.explode("bands").alias("bucket")).select("bucket", "id")
-    crowded = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    crowded = cut(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "crowded")
     met = cut(buckets.join(crowded, "bucket").select("bucket", "id"), "met")
     if met.limit(1).count():
         copies = copies.unionByName(linked(met, _fetch(own), threshold))

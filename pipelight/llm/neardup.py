@@ -8,11 +8,13 @@ gives the links of a spanning forest, so pairs are never emitted.
 * A larger one has a hub, the item that agrees with most others in its buckets.  Its items are dealt
   into cells at random, each with the hub in it.  In a group of near copies nearly everything links
   to the hub here, and the work is linear in the group.
-* Items that are still apart from the hub's component are then compared with the rest of their
-  cluster, cell against cell, skipping cells that the triangle inequality rules out: Jaccard distance
+* What is still apart from the hub's component is then compared, cell against cell, with the rest of
+  its cluster if that is one cell's worth of items at most, else with the rest of its buckets only:
+  where buckets have chained unlike items into a giant cluster, the work follows the buckets, not the
+  square of the cluster.  Cells that the triangle inequality rules out are skipped: Jaccard distance
   is a metric, so items whose distances from the hub differ by more than 1 - threshold aren't similar.
 
-So every pair of a cluster is compared unless both are linked to the hub already or it is ruled out.
+So every two items that share a bucket are compared unless they are linked already or ruled out.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, lean
 from .components import connected_components
 
 #: Items of a cell.
@@ -115,12 +117,13 @@ def linked(met: DataFrame, fetch: Callable[[DataFrame], DataFrame], threshold: f
     elements, the unique 64-bit elements of the item as bytes.  Elements are made where the items'
     texts are read and move once, to their cell.
     """
-    sized = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("pivot"))
+    # what is summed up by bucket or cluster is written before it is joined: a hot one's rows can then be split
+    sized = cut(met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("pivot")), "sized")
     members = cut(met.join(sized, "bucket"), "members")
     clusters = connected_components(members.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
     agreeing = members.groupBy("id").agg(F.sum("n").alias("agrees"))
     items = cut(clusters.join(agreeing, "id").select(F.col("component").alias("cluster"), "id", "agrees"), "items")
-    whole = items.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.max_by("id", F.struct("agrees", -F.col("id"))).alias("hub"))
+    whole = cut(items.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("agrees", (-F.col("id")).alias("least"))).alias("best")).select("cluster", "n", (-F.col("best.least")).alias("hub")), "whole")
     items = cut(items.join(whole, "cluster").withColumn("cells", F.ceil(F.col("n") / CELL).cast("int")).withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells")).cast("int")), "items")
     placed = items.select("cluster", "cell", "id", "hub", "cells")
     hubs = items.where("id = hub and cells > 1").select("cluster", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), "id", "hub", "cells", F.col("cell").alias("own")).where("cell <> own").drop("own")
@@ -139,27 +142,35 @@ def linked(met: DataFrame, fetch: Callable[[DataFrame], DataFrame], threshold: f
 
     info = ["cluster", "cell", "hub", "cells"]
     cells = fetch(placed.unionByName(hubs).select("id", F.struct(*info).alias("info"))).select("info.cluster", "info.cell", "id", "info.hub", "info.cells", "elements")
-    first = cut(cells.repartition("cluster", "cell").sortWithinPartitions("cluster", "cell", "id").mapInArrow(compare, "a long, b long, far double"), "links")
+    first = cut(cells.repartition("cluster", "cell").sortWithinPartitions("cluster", "cell", "id").mapInArrow(lean(compare), "a long, b long, far double"), "links")
     links = first.where("b is not null").select("a", "b")
     distance = first.where("b is null").select(F.col("a").alias("id"), "far")
     if not distance.limit(1).count():
         return links
     large = items.where("cells > 1").join(distance, "id", "left").join(connected_components(links), "id", "left").select("cluster", "id", "hub", F.coalesce("component", "id").alias("component"), F.coalesce("far", F.lit(0.0)).alias("far"))
-    large = large.withColumn("ring", F.floor(F.col("far") / _STEP).cast("int"))
-    main = large.where("id = hub").select("cluster", F.col("component").alias("main"))
-    large = cut(large.join(main, "cluster").withColumn("stray", F.col("component") != F.col("main")), "large")
-    rings = large.groupBy("cluster", "ring").agg(F.ceil(F.sum(F.col("stray").cast("int")) / CELL).cast("int").alias("stray_parts"), F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("parts"))
+    large = cut(large.withColumn("ring", F.floor(F.col("far") / _STEP).cast("int")).drop("far"), "large")
+    main = cut(large.where("id = hub").select("cluster", F.col("component").alias("main")), "main")
+    apart = cut(large.join(main, "cluster").groupBy("cluster", "main").agg(F.sum((F.col("component") != F.col("main")).cast("int")).alias("strays")).where("strays > 0"), "apart")
+    # the groups that are compared: a cluster with few strays, or each bucket of one with many that has several components
+    few = large.join(apart.where(F.col("strays") <= CELL), "cluster").select(F.xxhash64(F.lit(0), "cluster").alias("group"), "id", "component", "main", "ring")
+    chained = large.join(apart.where(F.col("strays") > CELL).select("cluster"), "cluster", "left_semi").select("id", "component", "ring")
+    chained = cut(members.select("bucket", "id").join(chained, "id"), "chained")
+    parts = chained.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    split = cut(parts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("components")).where("components > 1").select("bucket", "n", F.col("most.component").alias("main")), "split")
+    many = chained.join(split, "bucket").select(F.xxhash64(F.lit(1), "bucket").alias("group"), "id", "component", "main", F.when(F.col("n") > CELL, F.col("ring")).otherwise(0).alias("ring"))
+    mates = cut(few.unionByName(many).select("group", "id", "ring", (F.col("component") != F.col("main")).alias("stray")), "mates")
+    rings = cut(mates.groupBy("group", "ring").agg(F.ceil(F.sum(F.col("stray").cast("int")) / CELL).cast("int").alias("stray_parts"), F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("parts")), "rings")
     reach = int((1 - threshold) / _STEP) + 1
-    other = rings.select("cluster", F.col("ring").alias("other_ring"), F.col("stray_parts").alias("other_stray_parts"), F.col("parts").alias("other_parts"))
-    near = cut(rings.join(other, "cluster").where(F.abs(F.col("ring") - F.col("other_ring")) <= reach), "near")
+    other = rings.select("group", F.col("ring").alias("other_ring"), F.col("parts").alias("other_parts"))
+    near = cut(rings.where("stray_parts > 0").join(other, "group").where(F.abs(F.col("ring") - F.col("other_ring")) <= reach), "near")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     part = lambda n: F.pmod(F.xxhash64("id", F.lit(3)), F.col(n)).cast("int")
     # strays of a ring, in parts, meet all items of each ring near it, in parts
-    asked = large.where("stray").join(near.where("stray_parts > 0"), ["cluster", "ring"]).withColumn("part", part("stray_parts")).withColumn("other_part", spread("other_parts"))
-    asked = asked.select("cluster", "ring", "part", "other_ring", "other_part", "id", F.lit(True).alias("asks"))
-    given = large.join(near.where("stray_parts > 0").select("cluster", F.col("ring").alias("asking"), F.col("other_ring").alias("ring"), "stray_parts", "other_parts"), ["cluster", "ring"])
+    asked = mates.where("stray").join(near, ["group", "ring"]).withColumn("part", part("stray_parts")).withColumn("other_part", spread("other_parts"))
+    asked = asked.select("group", "ring", "part", "other_ring", "other_part", "id", F.lit(True).alias("asks"))
+    given = mates.join(near.select("group", F.col("ring").alias("asking"), F.col("other_ring").alias("ring"), "stray_parts", "other_parts"), ["group", "ring"])
     given = given.withColumn("other_part", part("other_parts")).withColumn("part", spread("stray_parts"))
-    given = given.select("cluster", F.col("asking").alias("ring"), "part", F.col("ring").alias("other_ring"), "other_part", "id", F.lit(False).alias("asks"))
+    given = given.select("group", F.col("asking").alias("ring"), "part", F.col("ring").alias("other_ring"), "other_part", "id", F.lit(False).alias("asks"))
 
     def meet(batches):
         for _, rows in _groups(batches, 5):
@@ -169,6 +180,6 @@ def linked(met: DataFrame, fetch: Callable[[DataFrame], DataFrame], threshold: f
                 i, j = np.nonzero(sim >= threshold - 1e-7)
                 yield _edges(forest(i, j, [r[0] for r in left], [r[0] for r in right]), [])
 
-    keys = ["cluster", "ring", "part", "other_ring", "other_part"]
-    rest = fetch(asked.unionByName(given).select("id", F.struct(*keys, "asks").alias("info"))).select(*(f"info.{k}" for k in keys), "id", "info.asks", "elements").repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(meet, "a long, b long, far double")
+    keys = ["group", "ring", "part", "other_ring", "other_part"]
+    rest = fetch(asked.unionByName(given).select("id", F.struct(*keys, "asks").alias("info"))).select(*(f"info.{k}" for k in keys), "id", "info.asks", "elements").repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(lean(meet), "a long, b long, far double")
     return links.unionByName(rest.select("a", "b"))

@@ -4,11 +4,12 @@ Method: suffix automata of shards of the reference are streamed against; a docum
 statistics (for each word, the length of the longest reference substring that ends there) give the
 windows that occur earlier.  The reference is the corpus itself, whose size has no bound, so its
 automata are not broadcast to everyone: a shard holds the contexts of some anchors (see windows.py)
-and gets exactly the passages that can match it.  A shard's automaton grows by the passages that
-bring something new, so what it holds is bounded by GROUP_LIMIT contexts of an anchor.
+and gets exactly the passages that can match it: every one around an anchor that occurs twice, also
+equal ones (the first two; further copies follow the second).  A shard's automaton grows by the
+passages that bring something new, so what it holds is bounded by GROUP_LIMIT contexts of an anchor.
 
-Defined results: a null text has no words; rows that repeat both id and text are one document; ids
-are ordered null first; an empty table gives an empty result.
+Defined results: a null text has no words; rows that repeat an id and a text are documents of their
+own, the later one a copy; ids are ordered null first; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import keyed, table
+from .common import keyed, lean, table
 from .suffix_dedup import merged_spans
 from .windows import covered
 
@@ -141,7 +142,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.record_batch([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary())], names=[id_col, "n_words", "n_removed", "kept"])
 
     kind = dict(own.dtypes)["id"]
-    return hit.mapInArrow(remove, f"`{id_col}` {kind}, n_words long, n_removed long, kept binary")
+    return hit.mapInArrow(lean(remove), f"`{id_col}` {kind}, n_words long, n_removed long, kept binary")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,11 +3,14 @@
 Method: suffixes are sorted in two stages.  Only suffixes that are smaller than their successors
 are sorted directly; the others are induced by scanning the buckets of first bytes in order; then
 the common prefixes of neighbours tell which strings occur twice.  Texts get to a sorter by the
-anchors of their windows (see windows.py), so a sorter holds a bounded chunk, and an anchor with
-very many different contexts is counted by window hashes instead of sorted in one task.
-
-Defined results: a null text is empty; rows that repeat both id and text are one document; texts
-shorter than the length have nothing removed; an empty table gives an empty result.
+anchors of their windows (see windows.py): every text around an anchor that occurs twice, also where
+the texts are equal (two of them; further copies follow the second).  So a sorter holds a bounded
+chunk.  An anchor with very many different contexts is counted by window hashes instead of sorted
+in one task.
+
+Defined results: a null text is empty; rows that repeat an id and a text are documents of their own
+(each other's copies); texts shorter than the length have nothing removed; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import keyed, small, table
+from .common import keyed, lean, small, table
 from .windows import covered, merge_spans
 
 LENGTH = 400
@@ -29,6 +32,10 @@ LENGTH = 400
 GRAM = 200
 
 
+#: Neighbours whose strings are compared at once.
+PAIRS = 4096
+
+
 def smaller_than_successor(text: np.ndarray) -> np.ndarray:
     """For each suffix, whether it is smaller than the one that starts a byte later."""
     n = text.size
@@ -40,15 +47,26 @@ def smaller_than_successor(text: np.ndarray) -> np.ndarray:
     return step[decides] > 0
 
 
+def _direct_sort(data: bytes, text: np.ndarray, suffixes: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes by their first depth bytes: dealt by their first four, and compared within these buckets,
+    so that only one bucket's strings are held at a time."""
+    padded = np.concatenate([text, np.zeros(3, np.uint8)]).astype(np.uint32)
+    first = sum(padded[i : i + text.size] << np.uint32(8 * (3 - i)) for i in range(4))[suffixes]
+    order = np.argsort(first, kind="stable")
+    out, first = suffixes[order], first[order]
+    edge = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1], [True]])) if first.size else np.zeros(1, np.int64)
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        if b - a > 1:
+            out[a:b] = sorted(out[a:b].tolist(), key=lambda i: data[i : i + depth])
+    return out
+
+
 def suffix_array(data: bytes, depth: int) -> np.ndarray:
     """Suffixes of data in the order of their first `depth` bytes, by two-stage sorting."""
     text = np.frombuffer(data, dtype=np.uint8)
     n = text.size
     small_type = smaller_than_successor(text)
-    direct = np.flatnonzero(small_type)
-    slices = [data[i : i + depth] for i in direct.tolist()]
-    direct = direct[sorted(range(direct.size), key=slices.__getitem__)]
-    del slices
+    direct = _direct_sort(data, text, np.flatnonzero(small_type), depth)
     bounds = np.searchsorted(text[direct], np.arange(257))
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
     induced[text[n - 1]].append(np.array([n - 1]))
@@ -82,23 +100,16 @@ def common_prefixes(data: bytes, order: np.ndarray, most: int) -> np.ndarray:
 
     Both of a pair must have `most` bytes; the caller keeps only such suffixes.
     """
-    padded = np.concatenate([np.frombuffer(data, dtype=np.uint8), np.zeros(8, np.uint8)]).astype(np.uint64)
-    n = len(data)
-    words = np.zeros(n, dtype=np.uint64)
-    for i in range(8):
-        words |= padded[i : i + n] << np.uint64(8 * i)
-    out = np.zeros(max(0, order.size - 1), dtype=np.int32)
-    left, right, alive = order[:-1], order[1:], np.arange(out.size)
-    for at in range(0, most, 8):
-        differ = words[np.minimum(left[alive] + at, n - 1)] ^ words[np.minimum(right[alive] + at, n - 1)]
-        equal = differ == 0
-        low = differ[~equal]
+    width = -(-most // 8) * 8
+    strings = np.ndarray(shape=(len(data),), dtype=f"V{width}", buffer=data + bytes(width), strides=(1,))
+    out = np.zeros(max(0, order.size - 1), dtype=np.int64)
+    for at in range(0, out.size, PAIRS):
+        words = strings[order[at : at + PAIRS + 1]].view("<u8").reshape(-1, width // 8)
+        differ = words[1:] ^ words[:-1]
+        first = np.argmax(differ != 0, axis=1)
+        low = differ[np.arange(first.size), first]
         low = low & (~low + np.uint64(1))
-        out[alive[~equal]] = at + np.log2(low.astype(np.float64)).astype(np.int32) // 8
-        alive = alive[equal]
-        if not alive.size:
-            break
-    out[alive] = most
+        out[at : at + PAIRS] = np.where(low == 0, width, 8 * first + np.log2(np.maximum(low, 1).astype(np.float64)).astype(np.int64) // 8)
     return np.minimum(out, most)
 
 
@@ -161,7 +172,7 @@ def _apply(own: DataFrame, spans: DataFrame, id_col: str) -> DataFrame:
             yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["n_spans"], pa.int64()), pa.array(out["kept"], pa.binary())], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept"])
 
     kind = dict(own.dtypes)["id"]
-    return hit.mapInArrow(remove, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return hit.mapInArrow(lean(remove), f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def merged_spans(spans: DataFrame) -> DataFrame:

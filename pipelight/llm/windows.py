@@ -7,11 +7,13 @@ equal anchors at equal places, so
 1. one pass finds the anchors of each document, with the run of windows each anchor owns and a hash
    of the text those windows span (the anchor's context);
 2. one shuffle on the anchor's hash brings equal anchors together, in sorted order, and a streaming
-   pass settles what needs no text: an anchor met once owns no repeated window, and equal contexts
-   repeat each other's windows throughout;
-3. only contexts that share an anchor but differ get their text fetched, and a solver compares them
-   within the anchor's group (suffix array or suffix automaton, see the operators);
-4. an anchor with more differing contexts than GROUP_LIMIT isn't given to a solver in one task: its
+   pass sees which can be repeated at all: an anchor met once owns no repeated window.  Copies are
+   pre-aggregated here: of equal contexts the first two go on, and any further one, which is the same
+   text as those two, is covered like the second;
+3. the contexts that go on get their text fetched, and a solver compares them within the anchor's
+   group (suffix array or suffix automaton, see the operators), which finds every repeated window,
+   those of equal contexts as well as those of contexts that only overlap;
+4. an anchor with more than GROUP_LIMIT different contexts isn't given to a solver in one task: its
    windows are hashed one by one and counted with map-side aggregation, which is exact too and has
    no group to hold.
 
@@ -28,14 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import cut
+from .common import cut, lean
 
 #: Differing contexts of one anchor that a solver takes at once.
 GROUP_LIMIT = 2000
 #: Units of differing contexts that a solver's task holds at once.
 CHUNK_UNITS = 400_000
 
-_OCCURRENCE = "anchor long, context long, key long, start int, windows int, again boolean"
+_OCCURRENCE = "anchor long, context long, key long, start int, windows int"
 _FOUND = "kind int, anchor long, key long, start int, end int"
 #: In place of an anchor: settled where it was found.
 _SETTLED = np.iinfo(np.int64).min
@@ -86,6 +88,17 @@ def find_anchors(units: np.ndarray, counts: np.ndarray, width: int, gram: int) -
     return {"doc": doc, "start": start - counts[doc], "windows": n, "anchor": grams[anchor].view(np.int64), "context": context.view(np.int64)}
 
 
+def _heads(cols: dict[str, np.ndarray]) -> np.ndarray:
+    """Where a new context begins among rows that are sorted by anchor and context."""
+    return np.concatenate([[True], (cols["anchor"][1:] != cols["anchor"][:-1]) | (cols["context"][1:] != cols["context"][:-1])])
+
+
+def _rank(heads: np.ndarray) -> np.ndarray:
+    """The place of each row in its run."""
+    at = np.arange(heads.size)
+    return at - np.maximum.accumulate(np.where(heads, at, 0))
+
+
 def _occurrences(units_of: Callable, width: int, gram: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,36 +109,33 @@ def _occurrences(units_of: Callable, width: int, gram: int) -> Callable:
                 if not found["doc"].size:
                     continue
                 key = keys[a + found["doc"]]
-                # equal contexts meet here first: the earliest stands for them, the rest are settled
+                # equal contexts meet here first: the earliest two stand for them, the rest are settled
                 order = np.lexsort((found["start"], key, found["context"], found["anchor"]))
                 col = {k: v[order] for k, v in found.items()}
                 key = key[order]
-                head = np.concatenate([[True], (col["anchor"][1:] != col["anchor"][:-1]) | (col["context"][1:] != col["context"][:-1])])
-                group = np.cumsum(head) - 1
-                again = np.bincount(group)[group] > 1
-                for lead in (True, False):
-                    keep = head if lead else ~head
-                    if keep.any():
+                lead = _rank(_heads(col)) < 2
+                for own in (lead, ~lead):
+                    if own.any():
                         yield pa.record_batch(
                             [
-                                pa.array(col["anchor"][keep] if lead else np.full(keep.sum(), _SETTLED)),
-                                pa.array(col["context"][keep]),
-                                pa.array(key[keep]),
-                                pa.array(col["start"][keep].astype(np.int32)),
-                                pa.array(col["windows"][keep].astype(np.int32)),
-                                pa.array(again[keep]),
+                                pa.array(col["anchor"][own] if own is lead else np.full(own.sum(), _SETTLED)),
+                                pa.array(col["context"][own]),
+                                pa.array(key[own]),
+                                pa.array(col["start"][own].astype(np.int32)),
+                                pa.array(col["windows"][own].astype(np.int32)),
                             ],
-                            names=["anchor", "context", "key", "start", "windows", "again"],
+                            names=["anchor", "context", "key", "start", "windows"],
                         )
 
     return run
 
 
-def _settle(width: int, earlier_only: bool) -> Callable:
+def _settle(width: int) -> Callable:
     """Stream over occurrences sorted by anchor, context, key and start.
 
-    Gives spans of units that are settled (kind 0: key, start, end) and contexts whose text has to
-    be compared (kind 1); kind 2 marks those of an anchor with more than GROUP_LIMIT contexts.
+    Gives the first two occurrences of contexts that share their anchor with others (kind 1; kind 2
+    if the anchor has more than GROUP_LIMIT contexts), and further ones as settled spans of units
+    (kind 0: key, start, end).
     """
 
     def rows(kind: int, cols: dict[str, np.ndarray], keep: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -135,18 +145,18 @@ def _settle(width: int, earlier_only: bool) -> Callable:
             yield pa.record_batch([pa.array(np.full(start.size, kind, np.int32)), pa.array(cols["anchor"][keep]), pa.array(cols["key"][keep]), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["kind", "anchor", "key", "start", "end"])
 
     def release(cols: dict[str, np.ndarray], big_anchor: int | None) -> Iterator[pa.RecordBatch]:
-        """Decide on contexts that are complete."""
-        if not earlier_only:  # the first of equal contexts is repeated by the others
-            yield from rows(0, cols, cols["again"])
+        """Decide on occurrences whose anchor is complete, or known to be a big one."""
+        heads = _heads(cols)
         edge = np.flatnonzero(np.concatenate([[True], cols["anchor"][1:] != cols["anchor"][:-1]]))
-        sizes = np.diff(np.append(edge, cols["key"].size))
-        sizes = np.where(cols["anchor"][edge] == big_anchor, GROUP_LIMIT + 1, sizes) if big_anchor is not None else sizes
-        size = np.repeat(sizes, np.diff(np.append(edge, cols["key"].size)))
-        yield from rows(1, cols, (size > 1) & (size <= GROUP_LIMIT))
-        yield from rows(2, cols, size > GROUP_LIMIT)
+        many = np.diff(np.append(edge, heads.size))
+        contexts = np.add.reduceat(heads.astype(np.int64), edge)
+        contexts = np.where(cols["anchor"][edge] == big_anchor, GROUP_LIMIT + 1, contexts) if big_anchor is not None else contexts
+        alone, big = np.repeat(many == 1, many), np.repeat(contexts > GROUP_LIMIT, many)
+        yield from rows(1, cols, ~alone & ~big)
+        yield from rows(2, cols, big)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry: dict[str, np.ndarray] = {}  # first members of the contexts of the anchor met last
+        carry: dict[str, np.ndarray] = {}  # the first two of the contexts of the anchor met last
         big_anchor = None
         for batch in batches:
             cols = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(batch.schema.names)}
@@ -155,19 +165,19 @@ def _settle(width: int, earlier_only: bool) -> Callable:
             cols = {k: np.concatenate([*([carry[k]] if carry else []), v[~settled]]) for k, v in cols.items()}
             if not cols["key"].size:
                 continue
-            head = np.concatenate([[True], (cols["anchor"][1:] != cols["anchor"][:-1]) | (cols["context"][1:] != cols["context"][:-1])])
-            yield from rows(0, cols, ~head)
-            group = np.cumsum(head) - 1
-            again = (np.bincount(group) > 1) | (np.bincount(group, weights=cols["again"]) > 0)
-            cols = {k: v[head] for k, v in cols.items()} | {"again": again}
+            lead = _rank(_heads(cols)) < 2
+            yield from rows(0, cols, ~lead)
+            cols = {k: v[lead] for k, v in cols.items()}
             last = cols["anchor"] == cols["anchor"][-1]
             if (~last).any():
                 yield from release({k: v[~last] for k, v in cols.items()}, big_anchor)
             carry = {k: v[last] for k, v in cols.items()}
-            if carry["key"].size > GROUP_LIMIT:
+            if carry["key"].size > 2 * GROUP_LIMIT:
+                # enough to know that it is big; those of the context met last stay, to tell further copies
                 big_anchor = carry["anchor"][0]
-                yield from release({k: v[:-1] for k, v in carry.items()}, big_anchor)
-                carry = {k: v[-1:] for k, v in carry.items()}
+                stay = carry["context"] == carry["context"][-1]
+                yield from rows(2, carry, ~stay)
+                carry = {k: v[stay] for k, v in carry.items()}
         if carry:
             yield from release(carry, big_anchor)
 
@@ -182,10 +192,10 @@ def covered(docs: DataFrame, units_of: Callable, text_units: Callable, width: in
     units_of(data, offsets) gives 64-bit units and counts; text_units(text) the units of one text,
     as integers of `item` bytes (1: bytes as they are, 8: hashes); solve(list of (key, start, units)) yields (index, first window, last window + 1).
     """
-    found_at = docs.select("key", F.col("text").cast("binary").alias("text")).mapInArrow(_occurrences(units_of, width, gram), _OCCURRENCE)
+    found_at = docs.select("key", F.col("text").cast("binary").alias("text")).mapInArrow(lean(_occurrences(units_of, width, gram)), _OCCURRENCE)
     # settled rows carry no anchor; they are spread, not gathered
     to = F.when(F.col("anchor") == F.lit(int(_SETTLED)), F.xxhash64("key")).otherwise(F.col("anchor"))
-    found = cut(found_at.repartition(to).sortWithinPartitions("anchor", "context", "key", "start").mapInArrow(_settle(width, earlier_only), _FOUND), "found")
+    found = cut(found_at.repartition(to).sortWithinPartitions("anchor", "context", "key", "start").mapInArrow(lean(_settle(width)), _FOUND), "found")
     settled = found.where("kind = 0").select("key", "start", "end")
     open_ = found.where("kind > 0")
     if not open_.limit(1).count():
@@ -209,7 +219,7 @@ def covered(docs: DataFrame, units_of: Callable, text_units: Callable, width: in
             if size:
                 yield _fetched(out)
 
-    texts = cut(wanted.mapInArrow(fetch, "kind int, anchor long, key long, start int, units binary"), "contexts")
+    texts = cut(wanted.mapInArrow(lean(fetch), "kind int, anchor long, key long, start int, units binary"), "contexts")
 
     def solver(batches):
         group, size, last = [], 0, None
@@ -232,7 +242,7 @@ def covered(docs: DataFrame, units_of: Callable, text_units: Callable, width: in
                 last = anchor
         yield from flush()
 
-    spans = settled.unionByName(texts.where("kind = 1").select("anchor", "key", "start", "units").repartition("anchor").sortWithinPartitions("anchor", "key", "start").mapInArrow(solver, "key long, start int, end int"))
+    spans = settled.unionByName(texts.where("kind = 1").select("anchor", "key", "start", "units").repartition("anchor").sortWithinPartitions("anchor", "key", "start").mapInArrow(lean(solver), "key long, start int, end int"))
     if not texts.where("kind = 2").limit(1).count():
         return spans
 
@@ -245,7 +255,7 @@ def covered(docs: DataFrame, units_of: Callable, text_units: Callable, width: in
                 at = np.arange(own.size - width + 1)
                 yield pa.record_batch([pa.array(H.ranges(sums, at, at + width).view(np.int64)), pa.array(H.ranges(sums2, at, at + width).view(np.int64)), pa.array(np.full(at.size, key)), pa.array((at + start).astype(np.int32))], names=["w1", "w2", "key", "start"])
 
-    hot = texts.where("kind = 2").select("key", "start", "units").repartition(F.xxhash64("key", "start")).mapInArrow(explode, "w1 long, w2 long, key long, start int")
+    hot = texts.where("kind = 2").select("key", "start", "units").repartition(F.xxhash64("key", "start")).mapInArrow(lean(explode, 1 << 18), "w1 long, w2 long, key long, start int")
     groups = hot.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "start")).alias("first")).where("n > 1")
     repeated = hot.join(groups, ["w1", "w2"])
     if earlier_only:

@@ -9,7 +9,7 @@ posted; which ones they are follows from document frequencies that are counted o
 corpus.  Benchmark windows are broadcast only if their measured size is small.
 
 Defined results: a null text has no words; items and documents without words match nothing; rows
-that repeat an id and text are one document; items that repeat an id count once; an empty corpus
+that repeat an id and a text are documents of their own; items that repeat an id count once; an empty corpus
 gives an empty result and an empty benchmark leaves every document clean.
 """
 
@@ -23,13 +23,14 @@ from pyspark.sql import functions as F
 from .common import cut, keyed, small, table
 
 WINDOW = 13
-_SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The other ASCII characters that aren't digits or lower-case letters stand between words.
+_SEPARATORS = "".join(chr(i) for i in range(128) if not chr(i).isalnum())
 
 
 def words_of(text: Column) -> Column:
-    lowered = F.translate(F.coalesce(text.cast("string"), F.lit("")), _UPPER, _LOWER)
-    return F.filter(F.split(lowered, _SEPARATOR), lambda w: w != "")
+    spaced = F.translate(F.coalesce(text.cast("string"), F.lit("")), _UPPER + _SEPARATORS, _LOWER + " " * len(_SEPARATORS))
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def phrase_windows(items: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
@@ -74,7 +75,7 @@ def phrase_matches(docs: DataFrame, items: DataFrame, item_col: str = "item_id",
     ).select("phrase", "key", (F.col("position") - F.col("offset")).alias("start"))
     # adjusted lists meet where both terms stand as the phrase has them
     both = at("a").withColumn("lists", F.lit(1)).unionByName(at("b").withColumn("lists", F.lit(2))).where("start >= 0")
-    both = both.groupBy("phrase", "key", "start").agg(F.sum("lists").alias("lists"))
+    both = both.groupBy("phrase", "key", "start").agg(F.bit_or("lists").alias("lists"))
     lengths = small(probes.select("phrase", "n").distinct(), n_probes, 24)
     candidates = cut(both.join(lengths, "phrase").where((F.col("lists") == 3) | ((F.col("lists") == 1) & (F.col("n") == 1))).select("key", "start", "n", "phrase"), "candidates")
     n_candidates = candidates.count()
@@ -82,7 +83,8 @@ def phrase_matches(docs: DataFrame, items: DataFrame, item_col: str = "item_id",
     looked_up = candidates.groupBy("key").agg(F.collect_list(F.struct("start", "n", "phrase")).alias("found"))
     stretches = (
         docs.join(small(looked_up, n_candidates, 32), "key")
-        .select("key", F.explode(F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["phrase"].alias("phrase"), F.slice(F.col("words"), x["start"] + 1, x["n"]).alias("words")))).alias("hit"))
+        # the words are bound to a variable, for within a lambda they would be taken from the text again for every place
+        .select("key", F.explode(F.flatten(F.transform(F.array("words"), lambda w: F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["phrase"].alias("phrase"), F.slice(w, x["start"] + 1, x["n"]).alias("words")))))).alias("hit"))
         .select("key", "hit.*")
     )
     exact = stretches.join(small(probes.select("phrase", "words", "n"), n_probes, 40 * window), ["phrase", "words"])

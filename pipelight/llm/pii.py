@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees, platt
-from .common import table
+from .common import lean, table
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: Kinds that the model may add, after the base kinds in the order of spans.
@@ -262,13 +262,13 @@ def model() -> tuple[BoostedTrees, tuple[float, float], dict[str, float]]:
     return trees, (a, b), thresholds
 
 
-def find_spans(texts: list[str]) -> tuple[list[list[tuple[str, int, int]]], list[list[tuple[str, int, int, float]]]]:
+def find_spans(texts: list[str], trained: tuple | None = None) -> tuple[list[list[tuple[str, int, int]]], list[list[tuple[str, int, int, float]]]]:
     """Base spans of each text, and the spans that the model adds with their probability."""
     base = [base_spans(t) for t in texts]
     rows = [(i, *c) for i, t in enumerate(texts) for c in candidates(t)]
     added: list[list] = [[] for _ in texts]
     if rows:
-        trees, (a, b), thresholds = model()
+        trees, (a, b), thresholds = trained or model()
         p = 1 / (1 + np.exp(-(a * trees.raw(np.array([features(texts[i], k, s, e) for i, k, s, e in rows])) + b)))
         taken: dict[int, list[tuple[int, int]]] = {}
         for j in np.argsort(-p, kind="stable"):
@@ -287,14 +287,18 @@ def joined(spans) -> str:
 
 def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, spans array<struct<kind, start, end, base, probability>>, redacted) for each row; redacted:
-    the text with every span replaced by its kind in brackets.  Offsets are code points."""
+    the text with every span replaced by its kind in brackets.  Offsets are code points.
+
+    The model is trained once, on the driver, and goes to the workers as it is.
+    """
+    trained = model()
 
     def run(batches):
         for batch in batches:
             raw = batch.column(1).to_pylist()
             for at in range(0, len(raw), 256):
                 texts = [(t or b"").decode("utf-8", "replace") for t in raw[at : at + 256]]
-                base, added = find_spans(texts)
+                base, added = find_spans(texts, trained)
                 spans, redacted = [], []
                 for t, own, more in zip(texts, base, added, strict=True):
                     every = sorted([(k, s, e, True, 1.0) for k, s, e in own] + [(k, s, e, False, p) for k, s, e, p in more], key=lambda x: (x[1], KIND_ORDER[x[0]]))
@@ -310,7 +314,7 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     kind = dict(own.dtypes)["id"]
-    return own.mapInArrow(run, f"id {kind}, spans array<struct<kind: string, start: long, end: long, base: boolean, probability: double>>, redacted string").withColumnRenamed("id", id_col)
+    return own.mapInArrow(lean(run), f"id {kind}, spans array<struct<kind: string, start: long, end: long, base: boolean, probability: double>>, redacted string").withColumnRenamed("id", id_col)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -319,4 +323,4 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["base"])
     of = lambda kind: F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))
     counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
-    return found.select("doc_id", *counts, F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))

@@ -9,9 +9,9 @@ gives the links of a spanning forest, so pairs are never emitted.
   into cells at random, each with the hub in it.  In a group of near copies nearly everything links
   to the hub here, and the work is linear in the group.
 * What is still apart from the hub's component is then compared, cell against cell, with the rest of
-  its cluster if that is one cell's worth of items at most, else with the rest of its buckets only:
-  where buckets have chained unlike items into a giant cluster, the work follows the buckets, not the
-  square of the cluster.  Cells that the triangle inequality rules out are skipped: Jaccard distance
+  its cluster or, where that is less work, with the rest of its buckets only: where buckets have
+  chained unlike items into a giant cluster, the work follows the buckets, not the square of the
+  cluster.  Cells that the triangle inequality rules out are skipped: Jaccard distance
   is a metric, so items whose distances from the hub differ by more than 1 - threshold aren't similar.
 
 So every two items that share a bucket are compared unless they are linked already or ruled out.
@@ -150,14 +150,20 @@ def linked(met: DataFrame, fetch: Callable[[DataFrame], DataFrame], threshold: f
     large = items.where("cells > 1").join(distance, "id", "left").join(connected_components(links), "id", "left").select("cluster", "id", "hub", F.coalesce("component", "id").alias("component"), F.coalesce("far", F.lit(0.0)).alias("far"))
     large = cut(large.withColumn("ring", F.floor(F.col("far") / _STEP).cast("int")).drop("far"), "large")
     main = cut(large.where("id = hub").select("cluster", F.col("component").alias("main")), "main")
-    apart = cut(large.join(main, "cluster").groupBy("cluster", "main").agg(F.sum((F.col("component") != F.col("main")).cast("int")).alias("strays")).where("strays > 0"), "apart")
-    # the groups that are compared: a cluster with few strays, or each bucket of one with many that has several components
-    few = large.join(apart.where(F.col("strays") <= CELL), "cluster").select(F.xxhash64(F.lit(0), "cluster").alias("group"), "id", "component", "main", "ring")
-    chained = large.join(apart.where(F.col("strays") > CELL).select("cluster"), "cluster", "left_semi").select("id", "component", "ring")
-    chained = cut(members.select("bucket", "id").join(chained, "id"), "chained")
-    parts = chained.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    split = cut(parts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("components")).where("components > 1").select("bucket", "n", F.col("most.component").alias("main")), "split")
-    many = chained.join(split, "bucket").select(F.xxhash64(F.lit(1), "bucket").alias("group"), "id", "component", "main", F.when(F.col("n") > CELL, F.col("ring")).otherwise(0).alias("ring"))
+    cost = lambda n, strays: F.col(n) * F.ceil(F.col(strays) / CELL) + F.col(strays) * F.ceil(F.col(n) / CELL)  # noqa: E731  rows that meet
+    apart = cut(large.join(main, "cluster").groupBy("cluster", "main").agg(F.sum((F.col("component") != F.col("main")).cast("int")).alias("strays"), F.count(F.lit(1)).alias("n")).where("strays > 0").withColumn("cost", cost("n", "strays")), "apart")
+    if not apart.limit(1).count():
+        return links
+    # the groups that are compared: a whole cluster, or those of its buckets that have several components, whichever is less
+    chained = cut(members.select("bucket", "id").join(large.join(apart.select("cluster"), "cluster", "left_semi").select("cluster", "id", "component", "ring"), "id"), "chained")
+    parts = chained.groupBy("cluster", "bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    split = parts.groupBy("cluster", "bucket").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("components")).where("components > 1")
+    split = cut(split.withColumn("strays", F.col("n") - F.col("most.n")).select("cluster", "bucket", "n", F.col("most.component").alias("main"), cost("n", "strays").alias("cost")), "split")
+    by_bucket = split.groupBy("cluster").agg(F.sum("cost").alias("bucket_cost"))
+    apart = cut(apart.join(by_bucket, "cluster", "left").withColumn("whole", F.col("cost") <= F.coalesce("bucket_cost", F.lit(0))), "apart")
+    few = large.join(apart.where("whole").select("cluster", "main"), "cluster").select(F.xxhash64(F.lit(0), "cluster").alias("group"), "id", "component", "main", "ring")
+    chosen = cut(split.join(apart.where("not whole").select("cluster"), "cluster", "left_semi").select("bucket", "n", "main"), "split")
+    many = chained.select("bucket", "id", "component", "ring").join(chosen, "bucket").select(F.xxhash64(F.lit(1), "bucket").alias("group"), "id", "component", "main", F.when(F.col("n") > CELL, F.col("ring")).otherwise(0).alias("ring"))
     mates = cut(few.unionByName(many).select("group", "id", "ring", (F.col("component") != F.col("main")).alias("stray")), "mates")
     rings = cut(mates.groupBy("group", "ring").agg(F.ceil(F.sum(F.col("stray").cast("int")) / CELL).cast("int").alias("stray_parts"), F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("parts")), "rings")
     reach = int((1 - threshold) / _STEP) + 1

@@ -60,8 +60,8 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, keep: Sequence[str] = ())
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *rest)
     names = [c for c in own.columns if c != "id"]
     if dict(own.dtypes)["id"] in ("bigint", "int", "smallint", "tinyint"):
-        n, present = own.agg(F.count(F.lit(1)), F.count("id")).first()
-        if n == present and not own.groupBy("id").count().where("count > 1").limit(1).count():
+        most, null = own.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.max(F.col("id").isNull())).first()
+        if most in (None, 1) and not null:
             return own.select(F.col("id").cast("long").alias("key"), "id", *names)
     ranked = own.sort("id", "text").withColumn("key", F.monotonically_increasing_id())
     return cut(ranked.select("key", "id", *names), "keyed")

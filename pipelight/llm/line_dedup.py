@@ -33,6 +33,7 @@ THRESHOLD = 0.8
 #: At a similarity of 0.8, 16 bands of 4 miss a pair with probability 0.0002; measured, the same to 0.0004
 #: for lines of 8 to 20 shingles, whose bins borrow from each other.
 BANDS, ROWS = 16, 4
+_BUCKETS = [f"b{i}" for i in range(BANDS)]
 
 
 def grams(data: np.ndarray) -> np.ndarray:
@@ -108,7 +109,7 @@ def _sign(batches):
             key, place, begin, end = np.array(list(first.values()), dtype=np.int64).T
             buckets = bands_of(minhash(data, begin, end, BANDS * ROWS), BANDS, ROWS)
             n = np.array([1 + again.get(h, 0) for h in first], dtype=np.int64)
-            yield pa.record_batch([pa.array(ids), pa.array(key), pa.array(place.astype(np.int32)), pa.array(n), pa.array([x.tobytes() for x in buckets], pa.binary())], names=["id", "key", "place", "n", "bands"])
+            yield pa.record_batch([pa.array(ids), pa.array(key), pa.array(place.astype(np.int32)), pa.array(n), *(pa.array(buckets[:, i].view(np.int64)) for i in range(BANDS))], names=["id", "key", "place", "n", *_BUCKETS])
 
 
 def jaccard(left: bytes, right: bytes) -> float:
@@ -125,55 +126,51 @@ def elements_of(line: bytes) -> np.ndarray:
     return np.unique(_shorten(found, np.array([data.size])) if data.size < SHINGLE else found)
 
 
+def crowded(batches):
+    """Members of buckets of two lines or more, with the first of them, of rows sorted by bucket."""
+    held = None  # bucket, id and pivot of the last row, and whether it was given out
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bucket, ids = (batch.column(i).to_numpy() for i in range(2))
+        if held is not None:
+            bucket, ids = np.concatenate([held[0], bucket]), np.concatenate([held[1], ids])
+        same = bucket[1:] == bucket[:-1]
+        head = np.concatenate([[True], ~same])
+        pivot = ids[np.maximum.accumulate(np.where(head, np.arange(head.size), 0))]
+        keep = np.concatenate([same, [False]]) | ~head
+        if held is not None:  # the run of the last row goes on with its own pivot
+            pivot[: int(np.argmax(head[1:])) + 1 if head[1:].any() else head.size] = held[2][0]
+            keep[0] = False if held[3] else keep[0]
+        held = (bucket[-1:], ids[-1:], pivot[-1:], keep[-1])
+        if keep.any():
+            yield pa.record_batch([pa.array(bucket[keep]), pa.array(ids[keep]), pa.array(pivot[keep])], names=["bucket", "id", "pivot"])
+
+
 def repeated_lines(own: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(id, component, first) of the lines that occur more than once or are similar to others: id is a
     line's hash and first the (key, place) of the first occurrence of any line of its component."""
-    found = own.select("key", F.col("text").cast("binary").alias("text")).mapInArrow(lean(_sign), "id long, key long, place int, n long, bands binary")
-    lines = cut(found.groupBy("id").agg(F.min(F.struct("key", "place")).alias("first"), F.sum("n").alias("n"), F.first("bands").alias("bands")), "lines")
+    found = own.select("key", F.col("text").cast("binary").alias("text")).mapInArrow(lean(_sign), f"id long, key long, place int, n long, {', '.join(f'{b} long' for b in _BUCKETS)}")
+    # a document is in one run, so a key comes once with an id; plain columns keep this a hash aggregate
+    lines = found.groupBy("id").agg(F.min("key").alias("key"), F.min_by("place", "key").alias("place"), F.sum("n").alias("n"), *(F.first(b).alias(b) for b in _BUCKETS))
+    lines = cut(lines.select("id", F.struct("key", "place").alias("first"), "n", *_BUCKETS), "lines")
 
-    def unpack(batches):
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            raw = b"".join(batch.column(1).to_pylist())
-            yield pa.record_batch([pa.array(np.frombuffer(raw, dtype=np.int64)), pa.array(np.repeat(ids, BANDS))], names=["bucket", "id"])
-
-    def crowded(batches):
-        """Members of buckets of two lines or more, of rows sorted by bucket."""
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            bucket, ids = (batch.column(i).to_numpy() for i in range(2))
-            if held is not None:
-                bucket, ids = np.concatenate([held[0], bucket]), np.concatenate([held[1], ids])
-            same = bucket[1:] == bucket[:-1]
-            keep = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-            # the last row waits for the next batch, unless it is known to be in a crowd
-            held = (bucket[-1:], ids[-1:]) if not keep[-1] else (bucket[-2:], ids[-2:])
-            keep[-held[0].size :] = False
-            if keep.any():
-                yield pa.record_batch([pa.array(bucket[keep]), pa.array(ids[keep])], names=["bucket", "id"])
-        if held is not None and held[0].size > 1:
-            yield pa.record_batch([pa.array(held[0]), pa.array(held[1])], names=["bucket", "id"])
-
-    pairs = lines.select("id", "bands").mapInArrow(lean(unpack), "bucket long, id long")
-    met = cut(pairs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(crowded, "bucket long, id long"), "met")
+    pairs = lines.select(F.explode(F.array(*_BUCKETS)).alias("bucket"), "id")
+    met = cut(pairs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(crowded), "bucket long, id long, pivot long"), "met")
     wanted = cut(met.select("id").distinct().join(lines.select("id", "first"), "id"), "wanted")
 
-    def elements(kind):
+    def read(kind):
         def run(batches):
             for batch in batches:
-                ids, infos, sets = [], [], []
+                ids, infos, found_lines = [], [], []
                 for text, found_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    spans, known = _lines(text), {}
+                    spans = _lines(text)
                     for x in found_:
-                        if x["id"] not in known:
-                            begin, end = spans[x["place"]]
-                            known[x["id"]] = elements_of(text[begin:end]).tobytes()
+                        begin, end = spans[x["place"]]
                         ids.append(x["id"])
                         infos.append(x["info"])
-                        sets.append(known[x["id"]])
-                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(infos, kind), pa.array(sets, pa.binary())], names=["id", "info", "elements"])
+                        found_lines.append(text[begin:end])
+                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(infos, kind), pa.array(found_lines, pa.binary())], names=["id", "info", "payload"])
 
         return run
 
@@ -182,9 +179,9 @@ def repeated_lines(own: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         by_text = places.groupBy("key").agg(F.collect_list("line").alias("lines"))
         rows = own.join(small(by_text, places.count(), 80), "key").select(F.col("text").cast("binary").alias("text"), "lines")
         info = asked.schema["info"]
-        return rows.mapInArrow(lean(elements(to_arrow_type(info.dataType)), 1 << 20), StructType([StructField("id", LongType()), info, StructField("elements", BinaryType())]))
+        return rows.mapInArrow(lean(read(to_arrow_type(info.dataType))), StructType([StructField("id", LongType()), info, StructField("payload", BinaryType())]))
 
-    classes = cut(connected_components(linked(met, fetch, threshold)), "classes")
+    classes = cut(connected_components(linked(met, fetch, elements_of, threshold)), "classes")
     members = classes.join(wanted, "id")
     first = members.groupBy("component").agg(F.min("first").alias("first"))
     similar = members.select("id", "component").join(first, "component")

@@ -153,16 +153,16 @@ def _count(text: bytes) -> Counter:
 def _elements(batches):
     for batch in batches:
         sets = [elements_of(t).tobytes() for t in batch.column(2).to_pylist()]
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["id", "info", "elements"])
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["id", "info", "payload"])
 
 
 def _fetch(own: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """Elements of the documents with the keys that are asked for."""
+    """Elements, as bytes, of the documents with the keys that are asked for."""
 
     def fetch(wanted: DataFrame) -> DataFrame:
         wanted = cut(wanted, "wanted")
         rows = own.join(small(wanted.withColumnRenamed("id", "key"), wanted.count(), 64), "key").select(F.col("key").alias("id"), "info", F.col("text").cast("binary").alias("text"))
-        return rows.mapInArrow(lean(_elements), StructType([*rows.schema.fields[:2], StructField("elements", BinaryType())]))
+        return rows.mapInArrow(lean(_elements), StructType([*rows.schema.fields[:2], StructField("payload", BinaryType())]))
 
     return fetch
 
@@ -190,10 +190,10 @@ def _classes(own: DataFrame, threshold: float) -> DataFrame:
     copied = equal.where("copies > 1").select("e1", "e2", "n", "first")
     copies = signed.select("key", "e1", "e2", "n").join(small(copied, copied.count(), 64), ["e1", "e2", "n"]).select(F.col("first").alias("a"), F.col("key").alias("b")).where("a <> b")
     buckets = equal.where("n > 0").select(F.col("first").alias("id"), F.explode("bands").alias("bucket")).select("bucket", "id")
-    crowded = cut(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "crowded")
-    met = cut(buckets.join(crowded, "bucket").select("bucket", "id"), "met")
+    crowded = cut(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("pivot")).where("n > 1").select("bucket", "pivot"), "crowded")
+    met = cut(buckets.join(crowded, "bucket").select("bucket", "id", "pivot"), "met")
     if met.limit(1).count():
-        copies = copies.unionByName(linked(met, _fetch(own), threshold))
+        copies = copies.unionByName(linked(met, _fetch(own), lambda x: np.frombuffer(x, dtype=np.uint64), threshold))
     return cut(connected_components(copies).select(F.col("id").alias("key"), F.col("component").alias("class_key")), "classes")
 
 

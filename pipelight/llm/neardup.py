@@ -5,7 +5,7 @@ as sets of 64-bit elements, within cells of bounded size; a cell is a matrix in
 gives the links of a spanning forest, so pairs are never emitted.
 
 * A cluster of up to CELL items is one cell: all of its pairs are compared.
-* A larger one has a hub, the item that agrees with most others in its buckets.  Its items are dealt
+* A larger one has a hub, the item that is the pivot of the most places in buckets.  Its items are dealt
   into cells at random, each with the hub in it.  In a group of near copies nearly everything links
   to the hub here, and the work is linear in the group.
 * What is still apart from the hub's component is then compared, cell against cell, with the rest of
@@ -110,19 +110,18 @@ def _edges(found: list[tuple[int, int]], far: list[tuple[int, float]]) -> pa.Rec
     return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([None] * len(found) + [d for _, d in far], pa.float64())], names=["a", "b", "far"])
 
 
-def linked(met: DataFrame, fetch: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
+def linked(met: DataFrame, fetch: Callable[[DataFrame], DataFrame], elements_of: Callable[[bytes], np.ndarray], threshold: float) -> DataFrame:
     """(a, b) links that connect all similar items.
 
-    met: (bucket, id) of buckets with several items; fetch takes (id, info) and gives it with
-    elements, the unique 64-bit elements of the item as bytes.  Elements are made where the items'
-    texts are read and move once, to their cell.
+    met: (bucket, id, pivot) of buckets with several items, of which pivot is one; fetch takes (id, info) and gives it with
+    payload, the bytes that elements_of makes an item's unique 64-bit elements of.  Payloads are made
+    where the items' texts are read and move to the item's cells, where they are decoded.
     """
-    # what is summed up by bucket or cluster is written before it is joined: a hot one's rows can then be split
-    sized = cut(met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("pivot")), "sized")
-    members = cut(met.join(sized, "bucket"), "members")
+    # what is summed up by cluster or bucket is written before it is joined: a hot one's rows can then be split
+    members = met
     clusters = connected_components(members.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
-    agreeing = members.groupBy("id").agg(F.sum("n").alias("agrees"))
-    items = cut(clusters.join(agreeing, "id").select(F.col("component").alias("cluster"), "id", "agrees"), "items")
+    agreeing = members.groupBy(F.col("pivot").alias("id")).agg(F.count(F.lit(1)).alias("agrees"))
+    items = cut(clusters.join(agreeing, "id", "left").select(F.col("component").alias("cluster"), "id", F.coalesce("agrees", F.lit(0)).alias("agrees")), "items")
     whole = cut(items.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("agrees", (-F.col("id")).alias("least"))).alias("best")).select("cluster", "n", (-F.col("best.least")).alias("hub")), "whole")
     items = cut(items.join(whole, "cluster").withColumn("cells", F.ceil(F.col("n") / CELL).cast("int")).withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells")).cast("int")), "items")
     placed = items.select("cluster", "cell", "id", "hub", "cells")
@@ -131,7 +130,7 @@ def linked(met: DataFrame, fetch: Callable[[DataFrame], DataFrame], threshold: f
     def compare(batches):
         for (_, _), rows in _groups(batches, 2):
             ids, hub, several = [r[0] for r in rows], rows[0][1], rows[0][2] > 1
-            elements = [np.frombuffer(r[3], dtype=np.uint64) for r in rows]
+            elements = [elements_of(r[3]) for r in rows]
             sim = similarities(elements, elements)
             i, j = np.nonzero(np.triu(sim >= threshold - 1e-7, 1))
             far = []
@@ -141,7 +140,7 @@ def linked(met: DataFrame, fetch: Callable[[DataFrame], DataFrame], threshold: f
             yield _edges(forest(i, j, ids, ids), far)
 
     info = ["cluster", "cell", "hub", "cells"]
-    cells = fetch(placed.unionByName(hubs).select("id", F.struct(*info).alias("info"))).select("info.cluster", "info.cell", "id", "info.hub", "info.cells", "elements")
+    cells = fetch(placed.unionByName(hubs).select("id", F.struct(*info).alias("info"))).select("info.cluster", "info.cell", "id", "info.hub", "info.cells", "payload")
     first = cut(cells.repartition("cluster", "cell").sortWithinPartitions("cluster", "cell", "id").mapInArrow(lean(compare), "a long, b long, far double"), "links")
     links = first.where("b is not null").select("a", "b")
     distance = first.where("b is null").select(F.col("a").alias("id"), "far")
@@ -182,10 +181,10 @@ def linked(met: DataFrame, fetch: Callable[[DataFrame], DataFrame], threshold: f
         for _, rows in _groups(batches, 5):
             left, right = [r for r in rows if r[1]], [r for r in rows if not r[1]]
             if left and right:
-                sim = similarities([np.frombuffer(r[2], dtype=np.uint64) for r in left], [np.frombuffer(r[2], dtype=np.uint64) for r in right])
+                sim = similarities([elements_of(r[2]) for r in left], [elements_of(r[2]) for r in right])
                 i, j = np.nonzero(sim >= threshold - 1e-7)
                 yield _edges(forest(i, j, [r[0] for r in left], [r[0] for r in right]), [])
 
     keys = ["group", "ring", "part", "other_ring", "other_part"]
-    rest = fetch(asked.unionByName(given).select("id", F.struct(*keys, "asks").alias("info"))).select(*(f"info.{k}" for k in keys), "id", "info.asks", "elements").repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(lean(meet), "a long, b long, far double")
+    rest = fetch(asked.unionByName(given).select("id", F.struct(*keys, "asks").alias("info"))).select(*(f"info.{k}" for k in keys), "id", "info.asks", "payload").repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(lean(meet), "a long, b long, far double")
     return links.unionByName(rest.select("a", "b"))

@@ -191,3 +191,18 @@ def test_line_dedup_is_exact(spark, monkeypatch, cell):
         want = "\n".join(x for j, x in enumerate((t or "").split("\n")) if not x.strip() or keep[x.strip()] == (i, j))
         assert got[i].kept == want, i
     assert collections.Counter(got[20].kept)["x"] == 0
+
+
+def test_crowded_buckets_over_batches():
+    import pyarrow as pa
+
+    r = random.Random(11)
+    for _ in range(200):
+        rows = sorted((r.randrange(8), r.randrange(10**6)) for _ in range(r.randint(1, 25)))
+        cuts = sorted({0, len(rows), *(r.randrange(len(rows) + 1) for _ in range(r.randint(0, 6)))})
+        batches = [pa.record_batch([pa.array([x[0] for x in rows[a:b]], pa.int64()), pa.array([x[1] for x in rows[a:b]], pa.int64())], names=["bucket", "id"]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        got = [tuple(row.values()) for batch in line_dedup.crowded(iter(batches)) for row in batch.to_pylist()]
+        by = collections.defaultdict(list)
+        for bucket, i in rows:
+            by[bucket].append(i)
+        assert sorted(got) == sorted((b, i, by[b][0]) for b in by for i in by[b] if len(by[b]) > 1)

@@ -17,16 +17,16 @@ def percentile(x: Column, p) -> Column:
     return F.percentile(x, float(p) / 100)
 
 
-def build(name: str, args: list, distinct: bool, order: list[str], time: str | None) -> Column:
+def build(name: str, args: list, distinct: bool, order: list[Column], time: str | None) -> Column:
     """name(args) as an aggregate Column.
 
-    order names the columns that say which row is first and last; time the column for earliest and
-    latest (ties go by order).
+    order has the values that rise from the first row to the last; time names the column for earliest
+    and latest (ties go by order).
     """
     key = ALIASES.get(name.lower(), name.lower())
     x = args[0] if args else None
-    by_order = F.struct(*(F.col(c) for c in order)) if order else None
-    by_time = F.struct(*(F.col(c) for c in dict.fromkeys([*([time] if time else []), *order]))) if time or order else None
+    by_order = F.struct(*order) if order else None
+    by_time = F.struct(*([F.col(time)] if time else []), *order) if time or order else None
     simple: dict[str, Callable] = {
         "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "stddev": F.stddev, "stddev_pop": F.stddev_pop, "variance": F.variance, "var_pop": F.var_pop,
         "distinct_count": F.count_distinct, "approx_count_distinct": F.approx_count_distinct, "median": F.median, "mode": lambda c: F.mode(c, True), "values": lambda c: F.array_sort(F.collect_set(c)), "list": F.collect_list,

@@ -187,7 +187,7 @@ DATE = {
 }
 TYPE = {
     "int": lambda x: x.try_cast("int"), "long": lambda x: x.try_cast("bigint"), "float": lambda x: x.try_cast("float"), "double": lambda x: x.try_cast("double"), "string": lambda x: x.cast("string"), "bool": lambda x: x.try_cast("boolean"),
-    "cast": lambda x, t: x.cast(type_named(t)), "convert": lambda x, t: x.cast(type_named(t)), "try_cast": lambda x, t: x.try_cast(type_named(t)), "typeof": F.typeof,
+    "cast": lambda x, t: x.try_cast(type_named(t)), "convert": lambda x, t: x.try_cast(type_named(t)), "try_cast": lambda x, t: x.try_cast(type_named(t)), "typeof": F.typeof,
 }
 CONDITIONAL = {
     "isnull": lambda x: x.isNull(), "isnotnull": lambda x: x.isNotNull(), "ifnull": F.ifnull, "nvl2": F.nvl2, "nullif": F.nullif, "coalesce": F.coalesce, "if": lambda c, a, b: F.when(c, a).otherwise(b), "case": _case,

@@ -7,18 +7,18 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Fixed patterns, by name; %{NAME} refers to another one.
+# Fixed values, as published: patterns by name; %{NAME} refers to another one.
 PATTERNS = {
     # numbers and words
     "USERNAME": r"[a-zA-Z0-9._-]+",
     "USER": r"%{USERNAME}",
-    "INT": r"[+-]?[0-9]+",
+    "INT": r"(?:[+-]?(?:[0-9]+))",
     "BASE10NUM": r"[+-]?(?:[0-9]+(?:\.[0-9]+)?|\.[0-9]+)",
     "NUMBER": r"%{BASE10NUM}",
-    "BASE16NUM": r"[+-]?(?:0x)?[0-9A-Fa-f]+",
+    "BASE16NUM": r"(?:0[xX]?[0-9a-fA-F]+)",
     "BASE16FLOAT": r"[+-]?(?:0x)?(?:[0-9A-Fa-f]+(?:\.[0-9A-Fa-f]*)?|\.[0-9A-Fa-f]+)",
-    "POSINT": r"[1-9][0-9]*",
-    "NONNEGINT": r"[0-9]+",
+    "POSINT": r"\b(?:[1-9][0-9]*)\b",
+    "NONNEGINT": r"\b(?:[0-9]+)\b",
     "WORD": r"\b\w+\b",
     "NOTSPACE": r"\S+",
     "SPACE": r"\s*",
@@ -29,8 +29,8 @@ PATTERNS = {
     "UUID": r"[A-Fa-f0-9]{8}-(?:[A-Fa-f0-9]{4}-){3}[A-Fa-f0-9]{12}",
     "BOOL": r"(?:true|false|TRUE|FALSE|True|False)",
     # net
-    "CISCOMAC": r"(?:[A-Fa-f0-9]{4}\.){2}[A-Fa-f0-9]{4}",
-    "WINDOWSMAC": r"(?:[A-Fa-f0-9]{2}-){5}[A-Fa-f0-9]{2}",
+    "CISCOMAC": r"(?:(?:[A-Fa-f0-9]{4}\.){2}[A-Fa-f0-9]{4})",
+    "WINDOWSMAC": r"(?:(?:[A-Fa-f0-9]{2}-){5}[A-Fa-f0-9]{2})",
     "COMMONMAC": r"(?:[A-Fa-f0-9]{2}:){5}[A-Fa-f0-9]{2}",
     "MAC": r"(?:%{CISCOMAC}|%{WINDOWSMAC}|%{COMMONMAC})",
     "IPV4": r"(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])",
@@ -40,7 +40,7 @@ PATTERNS = {
     "HOST": r"%{HOSTNAME}",
     "IPORHOST": r"(?:%{IP}|%{HOSTNAME})",
     "HOSTPORT": r"%{IPORHOST}:%{POSINT}",
-    "EMAILLOCALPART": r"[a-zA-Z0-9][a-zA-Z0-9_.+=:-]*",
+    "EMAILLOCALPART": r"[a-zA-Z0-9!#$%&'*+/=?^_\x60{|}~-]+(?:\.[a-zA-Z0-9!#$%&'*+/=?^_\x60{|}~-]+)*",
     "EMAILADDRESS": r"%{EMAILLOCALPART}@%{HOSTNAME}",
     # paths
     "UNIXPATH": r"(?:/[\w_%!$@:.,+~-]*)+",
@@ -49,20 +49,22 @@ PATTERNS = {
     "PATH": r"(?:%{UNIXPATH}|%{WINPATH})",
     "URIPROTO": r"[A-Za-z][A-Za-z0-9+.-]*",
     "URIHOST": r"%{IPORHOST}(?::%{POSINT})?",
-    "URIPATH": r"(?:/[A-Za-z0-9$.+!*'(){},~:;=@#%&_-]*)+",
-    "URIPARAM": r"\?[A-Za-z0-9$.+!*'|(){},~@#%&/=:;_?\[\]<>-]*",
+    "URIPATH": r"(?:/[A-Za-z0-9$.+!*'(){},~:;=@#%&_\-]*)+",
+    "URIPARAM": r"\?[A-Za-z0-9$.+!*'|(){},~@#%&/=:;_?\-\[\]<>]*",
     "URIPATHPARAM": r"%{URIPATH}(?:%{URIPARAM})?",
     "URI": r"%{URIPROTO}://(?:%{USER}(?::[^@]*)?@)?(?:%{URIHOST})?(?:%{URIPATHPARAM})?",
+    "URN": r"urn:[0-9A-Za-z][0-9A-Za-z-]{0,31}:(?:%[0-9a-fA-F]{2}|[0-9A-Za-z()+,.:=@;$_!*'/?#-])+",
+    "HTTPVERSION": r"HTTP/%{NUMBER}",
     # dates
-    "MONTH": r"\b(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\b",
+    "MONTH": r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)",
     "MONTHNUM": r"(?:0?[1-9]|1[0-2])",
     "MONTHNUM2": r"(?:0[1-9]|1[0-2])",
-    "MONTHDAY": r"(?:0[1-9]|[12][0-9]|3[01]|[1-9])",
+    "MONTHDAY": r"(?:(?:0[1-9])|(?:[12][0-9])|(?:3[01])|[1-9])",
     "DAY": r"(?:Mon(?:day)?|Tue(?:sday)?|Wed(?:nesday)?|Thu(?:rsday)?|Fri(?:day)?|Sat(?:urday)?|Sun(?:day)?)",
     "YEAR": r"[0-9]{2}(?:[0-9]{2})?",
     "HOUR": r"(?:2[0123]|[01]?[0-9])",
-    "MINUTE": r"[0-5][0-9]",
-    "SECOND": r"(?:[0-5]?[0-9]|60)(?:[:.,][0-9]+)?",
+    "MINUTE": r"(?:[0-5][0-9])",
+    "SECOND": r"(?:(?:[0-5]?[0-9]|60)(?:[:.,][0-9]+)?)",
     "TIME": r"%{HOUR}:%{MINUTE}(?::%{SECOND})?",
     "DATE_US": r"%{MONTHNUM}[/-]%{MONTHDAY}[/-]%{YEAR}",
     "DATE_EU": r"%{MONTHDAY}[./-]%{MONTHNUM}[./-]%{YEAR}",
@@ -91,8 +93,10 @@ PATTERNS = {
     "COMBINEDAPACHELOG": r"%{COMMONAPACHELOG} %{QS:referrer} %{QS:agent}",
     # java
     "JAVACLASS": r"(?:[a-zA-Z$_][a-zA-Z$_0-9]*\.)*[a-zA-Z$_][a-zA-Z$_0-9]*",
-    "JAVAFILE": r"[a-zA-Z$_0-9. -]+",
+    "JAVAFILE": r"(?:[a-zA-Z$_0-9. -]+)",
     "JAVAMETHOD": r"(?:<(?:cl)?init>|[a-zA-Z$_][a-zA-Z$_0-9]*)",
+    "JAVATHREAD": r"(?:[A-Z]{2}-Processor[\d]+)",
+    "CATALINA_DATESTAMP": r"%{YEAR}-%{MONTHNUM}-%{MONTHDAY} %{HOUR}:%{MINUTE}:%{SECOND}",
     "JAVASTACKTRACEPART": r"%{SPACE}at %{JAVACLASS:class}\.%{JAVAMETHOD:method}\(%{JAVAFILE:file}(?::%{INT:line})?\)",
 }
 _REFERENCE = re.compile(r"%\{(\w+)(?::([\w.@\[\]-]+))?(?::(\w+))?\}")

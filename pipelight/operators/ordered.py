@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, BooleanType, DataType, DateType, DoubleType, FloatType, IntegralType, NumericType, StringType, TimestampNTZType, TimestampType
 
 from ..sources.scratch import materialize
 
@@ -24,6 +25,25 @@ def sort_columns(order: list[tuple[str, bool]]) -> list[Column]:
     return [F.col(f"`{n}`").asc_nulls_first() if up else F.col(f"`{n}`").desc_nulls_last() for n, up in order]
 
 
+def falling(x: Column, kind: DataType) -> Column:
+    """A value that rises as x falls, nulls last: so that the least and the greatest can tell the first and
+    the last row of a descending order."""
+    if isinstance(kind, BooleanType):
+        turned = ~x
+    elif isinstance(kind, (FloatType, DoubleType)):
+        turned = F.struct(~F.isnan(x), -x)  # nan is the greatest
+    elif isinstance(kind, IntegralType):
+        turned = F.bitwise_not(x)  # unlike -x, there is one for the least
+    elif isinstance(kind, NumericType):
+        turned = -x
+    elif isinstance(kind, (DateType, TimestampType, TimestampNTZType)):
+        turned = F.lit("1970-01-01").cast(kind) - x
+    else:
+        text = x if isinstance(kind, (StringType, BinaryType)) else F.to_json(F.struct(x.alias("x")))
+        turned = F.concat(F.translate(F.hex(text), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("~"))
+    return F.struct(x.isNull(), turned)
+
+
 def numbered(df: DataFrame, order: list[tuple[str, bool]], name: str = ROW) -> DataFrame:
     """df with its rows' places in the order, from 0."""
     dealt = df.repartitionByRange(*sort_columns(order)).withColumn("__part", F.spark_partition_id())

@@ -13,11 +13,11 @@ from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DateType, NumericType, StringType, TimestampNTZType, TimestampType
+from pyspark.sql.types import ArrayType, DateType, MapType, NumericType, StringType, TimestampNTZType, TimestampType
 
 from ..functions import aggregates, scalar
 from ..operators import grok
-from ..operators.ordered import ROW, framed, numbered, running, sort_columns
+from ..operators.ordered import ROW, falling, framed, numbered, running, sort_columns
 from ..search.query import Compiler as QueryCompiler
 from ..search.query import Node
 from ..search.text import TextSettings
@@ -107,7 +107,7 @@ class Engine:
         return replace(flow, df=base, order=order)
 
     def need_order(self, flow: Flow) -> Flow:
-        return flow if flow.order else self.natural(flow, [c for c, t in flow.types().items() if not isinstance(t, ArrayType)][:8])
+        return flow if flow.order else self.natural(flow, [c for c, t in flow.types().items() if not isinstance(t, MapType)])
 
     # -- expressions ----------------------------------------------------------------------------
 
@@ -300,8 +300,9 @@ class Engine:
         if call.name in _ORDERED_AGGREGATES and not flow.order and call.name in ("earliest", "latest") and not flow.time:
             raise QueryError(f"{call.name} needs a time column")
         time = flow.time if flow.time in flow.df.columns else None
-        up = [n for n, ascending in flow.order if ascending]
-        return aggregates.build(call.name, args, call.distinct, up, time)
+        types = flow.types()
+        order = [F.col(n) if ascending else falling(F.col(n), types[n]) for n, ascending in flow.order] if call.name in _ORDERED_AGGREGATES else []
+        return aggregates.build(call.name, args, call.distinct, order, time)
 
     def named(self, aggs: list[Agg], taken: list[str]) -> list[str]:
         out = []
@@ -467,7 +468,8 @@ class Engine:
 
     # -- window aggregates ----------------------------------------------------------------------
 
-    def do_eventstats(self, flow: Flow, aggs: list[Agg], by: list[str]) -> Flow:
+    def do_eventstats(self, flow: Flow, aggs: list[Agg], by: list[str], bucket_nullable: bool = False) -> Flow:
+        """Rows with a null in a group key get nulls, or with bucket_nullable are a group like any other."""
         names = self.named(aggs, [])
         columns = [self.agg_column(a, flow).alias(n) for a, n in zip(aggs, names, strict=True)]
         # a join with the aggregates, not a window: groups are pre-aggregated and never held in one task
@@ -476,9 +478,13 @@ class Engine:
             return replace(flow, df=df.crossJoin(F.broadcast(flow.df.agg(*columns))))
         keys = [self.field(b, flow).alias(f"__g{i}") for i, b in enumerate(by)]
         groups = flow.df.groupBy(*keys).agg(*columns)
-        on = reduce(lambda a, b: a & b, (F.col(f"`{b}`") == F.col(f"__g{i}") for i, b in enumerate(by)))
+        same = (lambda a, b: a.eqNullSafe(b)) if bucket_nullable else (lambda a, b: a == b)
+        on = reduce(lambda a, b: a & b, (same(F.col(f"`{b}`"), F.col(f"__g{i}")) for i, b in enumerate(by)))
         return replace(flow, df=df.join(groups, on, "left").drop(*(f"__g{i}" for i in range(len(by)))))
 
+    def largest_group(self, flow: Flow, by: list[str]) -> int:
+        return flow.df.groupBy(*(self.field(b, flow) for b in by)).count().agg(F.max("count")).first()[0] or 0
+
     def do_streamstats(self, flow: Flow, aggs: list[Agg], by: list[str], window: int = 0, current: bool = True, reset_before=None, reset_after=None, **more) -> Flow:
         """Frames count the rows of the group; rows with a null in a group key get none.
 
@@ -491,11 +497,11 @@ class Engine:
             starts = {k: F.coalesce(self.expr(c, flow).cast("int"), F.lit(0)) for k, c in (("before", reset_before), ("after", reset_after)) if c is not None}
             df = flow.df
             for k, x in starts.items():
-                if by:
+                if by and self.largest_group(flow, by) <= GROUP_ROWS:
                     upto = Window.partitionBy(*(self.field(b, flow) for b in by)).orderBy(*sort_columns(flow.order)).rowsBetween(Window.unboundedPreceding, 0 if k == "before" else -1)
                     df = df.withColumn(f"__run_{k}", F.coalesce(F.sum(x).over(upto), F.lit(0)))
                 else:
-                    df = running(df, flow.order, {f"__run_{k}": ("sum", x)}, k == "before").withColumn(f"__run_{k}", F.coalesce(f"__run_{k}", F.lit(0)))
+                    df = running(df, flow.order, {f"__run_{k}": ("sum", x)}, k == "before", tuple(by)).withColumn(f"__run_{k}", F.coalesce(f"__run_{k}", F.lit(0)))
             runs = [f"__run_{k}" for k in starts]
             out = self.do_streamstats(replace(flow, df=df), aggs, [*by, *runs], window, current, **more)
             return replace(out, df=out.df.drop(*runs))
@@ -505,7 +511,7 @@ class Engine:
         back = int(window) - (1 if current else 0) if window else 0
         kinds = [aggregates.ALIASES.get(a.call.name, a.call.name) for a in aggs]
         simple = all(k in ("sum", "count", "min", "max", "avg") and not a.call.distinct for k, a in zip(kinds, aggs, strict=True))
-        if keys and (not (window or simple) or (flow.df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) <= GROUP_ROWS):
+        if keys and (not (window or simple) or self.largest_group(flow, by) <= GROUP_ROWS):
             base = Window.partitionBy(*keys).orderBy(*sort_columns(flow.order))
             frame = base.rowsBetween(-int(window) + (1 if current else 0) if window else Window.unboundedPreceding, 0 if current else -1)
             new = {n: F.when(known, self.agg_column(a, flow).over(frame)) for a, n in zip(aggs, names, strict=True)}

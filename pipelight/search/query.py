@@ -308,6 +308,14 @@ class Compiler:
         ).first()
         self.stats = {"n": row["n"] or 0} | {f: avgdl or row[keys[f]] or 1.0 for f in fields} | {leaf: row[keys[leaf]] or 0 for leaf in leaves}
 
+    def look_up(self, node: Node, known: dict, avgdl: float | None = None) -> None:
+        """The same statistics from stored dictionaries; known: field -> (rows, mean length, dictionary)."""
+        self.stats = {}
+        for f, (n, mean, dictionary) in known.items():
+            terms = sorted({t for g, t in self.text_leaves(node) if g == f})
+            found = {r["term"]: r["doc_freq"] for r in dictionary.where(F.col("term").isin(terms)).collect()}  # a row for each of the query's terms at most
+            self.stats |= {"n": n, f: avgdl or mean} | {(f, t): found.get(t, 0) for t in terms}
+
     def bm25(self, name: str, term: str) -> Column:
         n, df_ = self.stats["n"], self.stats[name, term]
         idf = math.log(1 + (n - df_ + 0.5) / (df_ + 0.5))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.catalog import Catalog
+from ..sources.scratch import materialize
 from .aggs import aggregate
 from .expressions import expression
 from .query import Compiler, Node, parse_query
@@ -55,11 +56,21 @@ class SearchResponse:
 class SearchService:
     def __init__(self, catalog: Catalog, udfs=None, id_columns: dict[str, str] | None = None) -> None:
         self.catalog, self.udfs, self.id_columns = catalog, udfs, id_columns or {}
+        #: (index, field) -> number of rows, mean length and dictionary, of fields that were indexed
+        self.indexed: dict[tuple[str, str], tuple[int, float, DataFrame]] = {}
 
     def id_column(self, index: str) -> Column:
         own = self.id_columns.get(index) or (self.catalog.order(index) or self.catalog.frame(index).columns)[-1]
         return F.col(own).cast("string")
 
+    def build_index(self, index: str, field: str) -> None:
+        """Store what scores need to know of a text field: its term dictionary, in the order of terms so that
+        a lookup reads few row groups, and its mean length.  It holds for the rows as they are now."""
+        tokens = self.catalog.text[index].of(field).column(F.col(field))
+        n, mean = self.catalog.frame(index).agg(F.count(F.lit(1)), F.avg(F.size(tokens))).first()
+        words = self.catalog.frame(index).select(F.explode(F.array_distinct(tokens)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq"))
+        self.indexed[index, field] = (n, mean or 1.0, materialize(words.sort("term"), "dictionary"))
+
     def matching(self, index: str, query: dict | Node | None, scored: bool = True, avgdl: float | None = None) -> DataFrame:
         """Rows that match, with _id and, if scored, _score."""
         df = self.catalog.frame(index)
@@ -70,9 +81,15 @@ class SearchService:
         # a field's tokens are made once for the condition and the score
         tokens = {f: f"__tokens_{i}" for i, f in enumerate(dict.fromkeys(f for f, _ in leaves))}
         compiler = Compiler(settings, self.udfs, tokens)
-        rows = df.withColumns({c: plain.tokens(f) for f, c in tokens.items()}) if tokens else df
+        rows = df
+        for f, c in tokens.items():  # a generator of one row: the optimizer doesn't copy what it makes into each use
+            rows = rows.select("*", F.explode(F.array(plain.tokens(f))).alias(c))
         if scored:
-            compiler.gather(rows, node, avgdl)
+            known = {f: self.indexed[index, f] for f in tokens if (index, f) in self.indexed}
+            if len(known) == len(tokens):
+                compiler.look_up(node, known, avgdl)
+            else:
+                compiler.gather(rows, node, avgdl)
         rows = rows.where(compiler.condition(node)).withColumn("_id", self.id_column(index))
         rows = rows.withColumn("_score", compiler.score(node).cast("double")) if scored else rows
         return rows.drop(*tokens.values())

@@ -429,8 +429,8 @@ ppl(
 )
 ppl(
     "A2_aggregates_more",
-    "source=events | stats approx_count_distinct(event_type) as a, percentile_approx(event_id, 50) as b, list(event_type) as c, median(event_id) as m, stdevp(event_id) as s, varp(event_id) as v, sum(distinct user_id) as u | eval c = length(concat_ws('', c)), s = round(s, 4), v = round(v, 2)",
-    "SELECT approx_count_distinct(event_type) * 0 + count(DISTINCT event_type) AS a, quantile_disc(event_id, 0.5) AS b, CAST(sum(length(event_type)) AS INTEGER) AS c, median(event_id) AS m, round(stddev_pop(event_id), 4) AS s, round(var_pop(event_id), 2) AS v, CAST(sum(DISTINCT user_id) AS BIGINT) AS u FROM events",
+    "source=events | stats approx_count_distinct(event_type) as a, percentile_approx(user_id, 50) as b, list(event_type) as c, median(event_id) as m, stdevp(event_id) as s, varp(event_id) as v, sum(distinct user_id) as u | eval c = length(concat_ws('', c)), s = round(s, 4), v = round(v, 2)",
+    "SELECT approx_count_distinct(event_type) * 0 + count(DISTINCT event_type) AS a, quantile_disc(user_id, 0.5) AS b, CAST(sum(length(event_type)) AS INTEGER) AS c, median(event_id) AS m, round(stddev_pop(event_id), 4) AS s, round(var_pop(event_id), 2) AS v, CAST(sum(DISTINCT user_id) AS BIGINT) AS u FROM events",
 )
 ppl("A6_first_descending", "source=events | sort - value, event_id | stats first(event_id) as f, last(event_id) as l", "SELECT first(event_id ORDER BY value DESC, event_id) AS f, last(event_id ORDER BY value DESC, event_id) AS l FROM events")
 ppl(

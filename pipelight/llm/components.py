@@ -45,15 +45,21 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) for every node of edges (a, b): component is the least id that it is linked to.
 
-    Partitions of about FOREST_EDGES edges are first reduced to forests.  If that took one
-    partition, its trees are the components.  Otherwise stars are contracted: each node's neighbours
-    above it are linked to its least neighbour (large star), and its neighbours below it likewise
-    (small star), until nothing changes.  Least neighbours are found by map-side aggregation, so a
-    node with very many edges is no group in one task.
+    Partitions of about FOREST_EDGES edges are reduced to forests, again and again while that removes
+    a third of the edges at least.  As soon as one partition holds them all, its trees are the
+    components.  Otherwise stars are contracted: each node's neighbours above it are linked to its
+    least neighbour (large star), and its neighbours below it likewise (small star), until nothing
+    changes.  Least neighbours are found by map-side aggregation, so a node with very many edges is no
+    group in one task.
     """
     edges = cut(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b"), "edges")
-    parts = max(1, -(-edges.count() // FOREST_EDGES))
-    edges = cut(edges.repartition(parts).mapInArrow(_forest, "a long, b long"), "forest")
+    n, parts = edges.count(), 0
+    while parts != 1:
+        parts = max(1, -(-n // FOREST_EDGES))
+        edges = cut(edges.repartition(parts).mapInArrow(_forest, "a long, b long"), "forest")
+        n, before = edges.count(), n
+        if n > 2 * before / 3:
+            break
     before = None
     while parts > 1:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -31,6 +31,8 @@ from .components import connected_components
 
 #: Items of a cell.
 CELL = 512
+#: Items of a cell up to which pairs are compared one by one.
+FEW = 8
 #: Elements that a cell's matrix has at once.
 COLUMNS = 4096
 _STEP = 0.05
@@ -48,7 +50,11 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
         return out
     a, b = np.concatenate(left), np.concatenate(right)
     of_a, of_b = np.repeat(np.arange(len(left)), [x.size for x in left]), np.repeat(np.arange(len(right)), [x.size for x in right])
-    shared = np.intersect1d(a, b)  # only these count
+    if left is right:  # elements of a single item only count for itself
+        values, many = np.unique(a, return_counts=True)
+        shared = values[many > 1]
+    else:
+        shared = np.intersect1d(a, b)  # only these count
     at_a, at_b = np.searchsorted(shared, a), np.searchsorted(shared, b)
     in_a, in_b = at_a < shared.size, at_b < shared.size
     in_a[in_a] = shared[at_a[in_a]] == a[in_a]
@@ -62,6 +68,8 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
         x[of_a[i:j], at_a[i:j] - start] = 1
         y[of_b[k:m], at_b[k:m] - start] = 1
         out += x @ y.T
+    if left is right:
+        np.fill_diagonal(out, [x.size for x in left])
     return out
 
 
@@ -72,6 +80,20 @@ def similarities(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return np.where(total > 0, common / np.maximum(total, 1), 1.0)
 
 
+def similar(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of similar pairs among a few sets; for them, hash sets are faster than matrices."""
+    own = [set(x.tolist()) for x in sets]
+    found = []
+    for i, a in enumerate(own):
+        for j in range(i + 1, len(own)):
+            common = len(a & own[j]) if min(len(a), len(own[j])) >= (threshold - 1e-7) * max(len(a), len(own[j])) else 0
+            total = len(a) + len(own[j]) - common
+            if not total or common / total >= threshold - 1e-7:
+                found.append((i, j))
+    pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
 def forest(rows: np.ndarray, cols: np.ndarray, left: list[int], right: list[int]) -> list[tuple[int, int]]:
     """A spanning forest of the links left[row] - right[col]."""
     parent: dict[int, int] = {}
@@ -131,9 +153,12 @@ def linked(met: DataFrame, fetch: Callable[[DataFrame], DataFrame], elements_of:
         for (_, _), rows in _groups(batches, 2):
             ids, hub, several = [r[0] for r in rows], rows[0][1], rows[0][2] > 1
             elements = [elements_of(r[3]) for r in rows]
+            far = []
+            if len(ids) <= FEW and not several:
+                yield _edges(forest(*similar(elements, threshold), ids, ids), far)
+                continue
             sim = similarities(elements, elements)
             i, j = np.nonzero(np.triu(sim >= threshold - 1e-7, 1))
-            far = []
             if several:
                 k = ids.index(hub)
                 far = [(x, float(1 - s)) for x, s in zip(ids, sim[k], strict=True) if x != hub]

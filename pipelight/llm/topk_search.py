@@ -8,8 +8,9 @@ in blocks.  Each shard gives a query at most k rows, and the best k of all shard
 
 Defined results: vectors that are null or empty, or of another dimension than most, or hold a null or
 non-finite component take no part; ties go to the smaller id; a query's own row (same id) is no
-candidate of its own; rows that repeat an id and vector are candidates once; an empty table gives an
-empty result.
+candidate of its own; a row that repeats another's id and vector is a candidate like any other, and a
+query that is repeated is asked once; sums are exact as long as they stay below 2 ** 53; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -75,7 +76,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_
     clean = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(
         F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     )
-    rows = cut(clean(candidates).distinct(), "vectors")
+    rows = cut(clean(candidates), "vectors")
     sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     if not sizes:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, id long, score double")

@@ -3,8 +3,8 @@
 Each stage works on all that its predecessor kept and, but for the last, returns the columns of
 documents.  Packing gives the pieces of the documents that remain and where they are placed.
 
-Defined results, for each stage: a null text counts as an empty one and stays as it is unless a line
-of it goes; null ids and nulls in other columns stay; rows that repeat an id and a text are each
+Defined results, for each stage: a null text counts as an empty one (line dedup writes it as such);
+null ids and nulls in other columns stay; rows that repeat an id and a text are each
 judged, and near-duplicate removal keeps one of them; an empty table gives an empty result; further
 columns, whatever their names, are carried along.
 """
@@ -59,8 +59,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best_fit_packing", packing),
 ]
 
-#: SQL expresses neither the learned grammar nor the tokenizer.  Tests compare run() with these stages applied one
-#: by one and check row counts; only single operators are held against brute force, the chain is not.
+#: SQL expresses neither the learned grammar nor the tokenizer.  tests/llm holds each stage against a brute-force
+#: version of it on a small table, and run() against the stages applied one by one.
 ORACLE_SQL = None
 
 

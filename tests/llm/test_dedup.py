@@ -206,3 +206,24 @@ def test_crowded_buckets_over_batches():
         for bucket, i in rows:
             by[bucket].append(i)
         assert sorted(got) == sorted((b, i, by[b][0]) for b in by for i in by[b] if len(by[b]) > 1)
+
+
+def test_results_beyond_the_broadcast_limit(spark, monkeypatch):
+    from pipelight.llm import common, decontamination
+
+    texts = [*corpus(4), None]
+    texts[1::7] = [f"{t}\nthis line is found in several of the texts {i % 2}\n" for i, t in enumerate(texts[1::7])]
+    docs = frame(spark, texts)
+    items = spark.createDataFrame([(1, " ".join(texts[0].split()[:20])), (2, "nothing of it")], "item_id long, text string")
+    runs = {
+        "lines": lambda: line_dedup.line_dedup(docs).select("doc_id", "n_removed", "kept"),
+        "documents": lambda: minhash_dedup.minhash_dedup(docs).select("doc_id", "class_id", "kept"),
+        "bytes": lambda: suffix_dedup.suffix_array_dedup(docs, length=40).select("doc_id", "n_removed", "n_spans"),
+        "words": lambda: substring_dedup.substring_dedup(docs, window=12).select("doc_id", "n_words", "n_removed"),
+        "items": lambda: decontamination.decontaminate(docs, items).select("doc_id", "n_hit", "contaminated"),
+    }
+    for name, run in runs.items():
+        want = sorted(map(tuple, run().collect()), key=str)
+        with monkeypatch.context() as m:
+            m.setattr(common, "BROADCAST_LIMIT_BYTES", 0)
+            assert sorted(map(tuple, run().collect()), key=str) == want, name

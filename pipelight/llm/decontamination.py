@@ -46,8 +46,9 @@ def phrase_windows(items: DataFrame, item_col: str, text_col: str, window: int)
 
 
 def phrase_matches(docs: DataFrame, items: DataFrame, item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(key, item, start, n): every occurrence of an item's window in docs (key, words)."""
-    spark = docs.sparkSession
+    """(key, item, start, n): every occurrence of an item's window in docs (key, text)."""
+    spark, texts = docs.sparkSession, docs
+    docs = texts.select("key", words_of(F.col("text")).alias("words"))
     windows = cut(phrase_windows(items, item_col, item_text_col, window), "windows")
     phrases = windows.select("words", "n").distinct()
     terms = phrases.select(F.explode("words").alias("term")).distinct()
@@ -82,7 +83,8 @@ def phrase_matches(docs: DataFrame, items: DataFrame, item_col: str = "item_id",
     # the rest of the words are compared in the document; what goes there is a place and a number
     looked_up = candidates.groupBy("key").agg(F.collect_list(F.struct("start", "n", "phrase")).alias("found"))
     stretches = (
-        docs.join(small(looked_up, n_candidates, 32), "key")
+        texts.join(small(looked_up, n_candidates, 32), "key")
+        .select("key", "found", words_of(F.col("text")).alias("words"))  # texts move, and only those that are looked at are split
         # the words are bound to a variable, for within a lambda they would be taken from the text again for every place
         .select("key", F.explode(F.flatten(F.transform(F.array("words"), lambda w: F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["phrase"].alias("phrase"), F.slice(w, x["start"] + 1, x["n"]).alias("words")))))).alias("hit"))
         .select("key", "hit.*")
@@ -112,8 +114,7 @@ def proximity_matches(docs: DataFrame, terms: list[str], slop: int, id_col: str
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, keep: Sequence[str] = ()) -> DataFrame:
     """(id, text, n_words, n_hit, item_ids, contaminated[, rest]) for each document."""
     own = keyed(docs, id_col, text_col, keep)
-    tokens = own.select("key", "id", words_of(F.col("text")).alias("words"))
-    matches = cut(phrase_matches(tokens.select("key", "words"), items, item_col, item_text_col, window), "matches")
+    matches = cut(phrase_matches(own.select("key", "text"), items, item_col, item_text_col, window), "matches")
     hits = matches.select("key", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("place")).distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n_hit"))
     named = matches.select("key", "item").distinct().groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("item_ids"))
     found = cut(hits.join(named, "key"), "hits")

@@ -8,10 +8,12 @@ gives the links of a spanning forest, so pairs are never emitted.
 * A larger one has a hub, the item that is the pivot of the most places in buckets.  Its items are dealt
   into cells at random, each with the hub in it.  In a group of near copies nearly everything links
   to the hub here, and the work is linear in the group.
-* What is still apart from the hub's component is then compared, cell against cell, with the rest of
-  its cluster or, where that is less work, with the rest of its buckets only: where buckets have
-  chained unlike items into a giant cluster, the work follows the buckets, not the square of the
-  cluster.  Cells that the triangle inequality rules out are skipped: Jaccard distance
+* What is not in a component of CELL items or more by then is loose: it is dealt into new cells, each with
+  the likeliest of the loose as a hub, again and again while that joins a third of it at least.  So the other
+  groups of near copies in a cluster become components too, at a cost that is linear in them.
+* What is still loose is then compared, block against block, with the rest of its cluster or, where that is
+  less work, with the rest of its buckets only.  Large components meet one another in the buckets that they
+  share; items of one large component never meet again.  Blocks that the triangle inequality rules out are skipped: Jaccard distance
   is a metric, so items whose distances from the hub differ by more than 1 - threshold aren't similar.
 
 So every two items that share a bucket are compared unless they are linked already or ruled out.
@@ -35,7 +37,8 @@ CELL = 512
 FEW = 8
 #: Elements that a cell's matrix has at once.
 COLUMNS = 4096
-_STEP = 0.05
+#: By so much a ring around a hub is wider than 1 - threshold: then only neighbouring rings hold similar items.
+_MARGIN = 1e-3
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -127,9 +130,13 @@ def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tu
         yield key, rows
 
 
-def _edges(found: list[tuple[int, int]], far: list[tuple[int, float]]) -> pa.RecordBatch:
-    a, b = [x for x, _ in found] + [x for x, _ in far], [y for _, y in found] + [None] * len(far)
-    return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([None] * len(found) + [d for _, d in far], pa.float64())], names=["a", "b", "far"])
+EDGES = "a long, b long, far double, near int"
+
+
+def _edges(found: list[tuple[int, int]], far: list[tuple[int, float, int]]) -> pa.RecordBatch:
+    """Links a - b; or of an item a its distance from the hub and how many of its cell are similar to it."""
+    a, b, none = [x for x, _ in found] + [x[0] for x in far], [y for _, y in found] + [None] * len(far), [None] * len(found)
+    return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(none + [x[1] for x in far], pa.float64()), pa.array(none + [x[2] for x in far], pa.int32())], names=["a", "b", "far", "near"])
 
 
 def linked(met: DataFrame, fetch: Callable[[DataFrame], DataFrame], elements_of: Callable[[bytes], np.ndarray], threshold: float) -> DataFrame:
@@ -158,58 +165,78 @@ def linked(met: DataFrame, fetch: Callable[[DataFrame], DataFrame], elements_of:
                 yield _edges(forest(*similar(elements, threshold), ids, ids), far)
                 continue
             sim = similarities(elements, elements)
-            i, j = np.nonzero(np.triu(sim >= threshold - 1e-7, 1))
+            close = sim >= threshold - 1e-7
             if several:
                 k = ids.index(hub)
-                far = [(x, float(1 - s)) for x, s in zip(ids, sim[k], strict=True) if x != hub]
-            yield _edges(forest(i, j, ids, ids), far)
+                far = [(x, float(1 - s), int(n)) for x, s, n in zip(ids, sim[k], close.sum(axis=1), strict=True) if x != hub]
+            yield _edges(forest(*np.nonzero(np.triu(close, 1)), ids, ids), far)
+
+    def within(dealt: DataFrame) -> DataFrame:
+        info = ["cluster", "cell", "hub", "cells"]
+        cells = fetch(dealt.select("id", F.struct(*info).alias("info"))).select("info.cluster", "info.cell", "id", "info.hub", "info.cells", "payload")
+        return cut(cells.repartition("cluster", "cell").sortWithinPartitions("cluster", "cell", "id").mapInArrow(lean(compare), EDGES), "links")
 
-    info = ["cluster", "cell", "hub", "cells"]
-    cells = fetch(placed.unionByName(hubs).select("id", F.struct(*info).alias("info"))).select("info.cluster", "info.cell", "id", "info.hub", "info.cells", "payload")
-    first = cut(cells.repartition("cluster", "cell").sortWithinPartitions("cluster", "cell", "id").mapInArrow(lean(compare), "a long, b long, far double"), "links")
+    first = within(placed.unionByName(hubs))
     links = first.where("b is not null").select("a", "b")
-    distance = first.where("b is null").select(F.col("a").alias("id"), "far")
+    distance = first.where("b is null").select(F.col("a").alias("id"), "far", "near")
     if not distance.limit(1).count():
         return links
-    large = items.where("cells > 1").join(distance, "id", "left").join(connected_components(links), "id", "left").select("cluster", "id", "hub", F.coalesce("component", "id").alias("component"), F.coalesce("far", F.lit(0.0)).alias("far"))
-    large = cut(large.withColumn("ring", F.floor(F.col("far") / _STEP).cast("int")).drop("far"), "large")
-    main = cut(large.where("id = hub").select("cluster", F.col("component").alias("main")), "main")
-    cost = lambda n, strays: F.col(n) * F.ceil(F.col(strays) / CELL) + F.col(strays) * F.ceil(F.col(n) / CELL)  # noqa: E731  rows that meet
-    apart = cut(large.join(main, "cluster").groupBy("cluster", "main").agg(F.sum((F.col("component") != F.col("main")).cast("int")).alias("strays"), F.count(F.lit(1)).alias("n")).where("strays > 0").withColumn("cost", cost("n", "strays")), "apart")
+    large = items.where("cells > 1").join(distance, "id", "left").select("cluster", "id", "hub", F.floor(F.coalesce("far", F.lit(0.0)) / (1 - threshold + _MARGIN)).cast("int").alias("ring"), F.coalesce("near", F.lit(0)).alias("near"))
+    large, before, turn = cut(large, "large"), None, 0
+    while True:
+        state = large.join(connected_components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        sizes = cut(state.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "sizes")
+        # home: the item's component if that is large, else null, and the item is loose
+        state = cut(state.join(sizes, "component").withColumn("home", F.when(F.col("size") >= CELL, F.col("component"))), "state")
+        most = F.max(F.struct("size", "near", "id")).alias("most")
+        loose = cut(state.where("home is null").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), most).where(F.col("n") > CELL), "loose")
+        now = loose.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if not now or before is not None and now > 2 * before / 3:
+            break
+        before, turn = now, turn + 1
+        again = loose.select("cluster", F.col("most.id").alias("hub"), F.ceil(F.col("n") / CELL).cast("int").alias("parts"))
+        dealt = state.where("home is null").select("cluster", "id").join(again, "cluster").withColumn("cell", F.pmod(F.xxhash64("id", F.lit(turn)), F.col("parts")).cast("int"))
+        guests = again.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("id", F.col("hub")).where(F.col("cell") != F.pmod(F.xxhash64("id", F.lit(turn)), F.col("parts")))
+        cols = ["cluster", "cell", "id", "hub", F.lit(1).alias("cells")]
+        links = links.unionByName(within(cut(dealt.select(*cols).unionByName(guests.select(*cols)), "dealt")).select("a", "b"))
+    state = state.select("cluster", "id", "component", "home", "ring")
+    rows = F.col("n") * F.ceil(F.col("loose") / CELL) + F.col("loose") * F.ceil(F.col("n") / CELL)  # that meet, about
+    counted = lambda df, *keys: df.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("home").isNull(), 1)).alias("loose")).groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("loose").alias("loose"), F.count(F.lit(1)).alias("components"), F.count_if(F.col("loose") < F.col("n")).alias("homes")).where("components > 1")
+    apart = cut(counted(state, "cluster").withColumn("cost", rows), "apart")
     if not apart.limit(1).count():
         return links
-    # the groups that are compared: a whole cluster, or those of its buckets that have several components, whichever is less
-    chained = cut(members.select("bucket", "id").join(large.join(apart.select("cluster"), "cluster", "left_semi").select("cluster", "id", "component", "ring"), "id"), "chained")
-    parts = chained.groupBy("cluster", "bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    split = parts.groupBy("cluster", "bucket").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("components")).where("components > 1")
-    split = cut(split.withColumn("strays", F.col("n") - F.col("most.n")).select("cluster", "bucket", "n", F.col("most.component").alias("main"), cost("n", "strays").alias("cost")), "split")
-    by_bucket = split.groupBy("cluster").agg(F.sum("cost").alias("bucket_cost"))
+    # the groups that are compared: a cluster's loose items with all of it, or its buckets that have several
+    # components, whichever is less; different homes meet only in the buckets that they share
+    chained = cut(members.select("bucket", "id").join(state.join(apart.select("cluster"), "cluster", "left_semi"), "id"), "chained")
+    split = cut(counted(chained, "cluster", "bucket").withColumn("cost", F.when(F.col("n") <= CELL, F.col("n")).otherwise(rows)), "split")
+    by_bucket = split.groupBy("cluster").agg(F.sum(F.when(F.col("loose") > 0, F.col("cost"))).alias("bucket_cost"))
     apart = cut(apart.join(by_bucket, "cluster", "left").withColumn("whole", F.col("cost") <= F.coalesce("bucket_cost", F.lit(0))), "apart")
-    few = large.join(apart.where("whole").select("cluster", "main"), "cluster").select(F.xxhash64(F.lit(0), "cluster").alias("group"), "id", "component", "main", "ring")
-    chosen = cut(split.join(apart.where("not whole").select("cluster"), "cluster", "left_semi").select("bucket", "n", "main"), "split")
-    many = chained.select("bucket", "id", "component", "ring").join(chosen, "bucket").select(F.xxhash64(F.lit(1), "bucket").alias("group"), "id", "component", "main", F.when(F.col("n") > CELL, F.col("ring")).otherwise(0).alias("ring"))
-    mates = cut(few.unionByName(many).select("group", "id", "ring", (F.col("component") != F.col("main")).alias("stray")), "mates")
-    rings = cut(mates.groupBy("group", "ring").agg(F.ceil(F.sum(F.col("stray").cast("int")) / CELL).cast("int").alias("stray_parts"), F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("parts")), "rings")
-    reach = int((1 - threshold) / _STEP) + 1
-    other = rings.select("group", F.col("ring").alias("other_ring"), F.col("parts").alias("other_parts"))
-    near = cut(rings.where("stray_parts > 0").join(other, "group").where(F.abs(F.col("ring") - F.col("other_ring")) <= reach), "near")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    part = lambda n: F.pmod(F.xxhash64("id", F.lit(3)), F.col(n)).cast("int")
-    # strays of a ring, in parts, meet all items of each ring near it, in parts
-    asked = mates.where("stray").join(near, ["group", "ring"]).withColumn("part", part("stray_parts")).withColumn("other_part", spread("other_parts"))
-    asked = asked.select("group", "ring", "part", "other_ring", "other_part", "id", F.lit(True).alias("asks"))
-    given = mates.join(near.select("group", F.col("ring").alias("asking"), F.col("other_ring").alias("ring"), "stray_parts", "other_parts"), ["group", "ring"])
-    given = given.withColumn("other_part", part("other_parts")).withColumn("part", spread("stray_parts"))
-    given = given.select("group", F.col("asking").alias("ring"), "part", F.col("ring").alias("other_ring"), "other_part", "id", F.lit(False).alias("asks"))
+    few = state.join(apart.where("whole and loose > 0").select("cluster", "n"), "cluster").select(F.xxhash64(F.lit(0), "cluster").alias("group"), "id", "home", "ring", "n")
+    chosen = cut(split.join(apart.select("cluster", "whole"), "cluster").where("not whole or homes > 1").select("bucket", F.when(F.col("whole"), F.col("n") - F.col("loose")).otherwise(F.col("n")).alias("n"), "whole"), "chosen")
+    many = chained.join(chosen, "bucket").where("not whole or home is not null").select(F.xxhash64(F.lit(1), "bucket").alias("group"), "id", "home", "ring", "n")
+    # a group of up to CELL items is one block; a larger one has blocks by home and ring, of about CELL items each
+    home, ring = (F.when(F.col("n") > CELL, F.col(c)) for c in ("home", "ring"))
+    mates = few.withColumn("across", F.lit(False)).unionByName(many.withColumn("across", F.lit(True))).select("group", "across", "id", home.alias("home"), F.coalesce(ring, F.lit(0)).alias("ring"))
+    parts = cut(mates.groupBy("group", "across", "home", "ring").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("parts")), "parts")
+    same = [F.col("m.group") == F.col("p.group"), F.col("m.home").eqNullSafe(F.col("p.home")), F.col("m.ring") == F.col("p.ring")]
+    block = F.xxhash64("home", "ring", "part").alias("block")
+    mates = mates.alias("m").join(parts.alias("p"), same).select("m.*", F.pmod(F.xxhash64("id", F.lit(-1)), F.col("parts")).cast("int").alias("part")).select("group", "id", block)
+    blocks = cut(parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("group", "across", "home", "ring", block), "blocks")
+    pairs = blocks.alias("l").join(blocks.alias("r"), "group").where("l.block <= r.block and abs(l.ring - r.ring) <= 1 and (l.home is null or r.home is null or (l.across and l.home <> r.home))")
+    pairs = cut(pairs.select("group", F.col("l.block").alias("left"), F.col("r.block").alias("right")), "pairs")
+    mates = cut(mates, "mates")
+    asked = mates.withColumnRenamed("block", "left").join(pairs, ["group", "left"]).select("group", "left", "right", "id", F.lit(True).alias("asks"))
+    given = mates.withColumnRenamed("block", "right").join(pairs.where("left <> right"), ["group", "right"]).select("group", "left", "right", "id", F.lit(False).alias("asks"))
 
     def meet(batches):
-        for _, rows in _groups(batches, 5):
-            left, right = [r for r in rows if r[1]], [r for r in rows if not r[1]]
-            if left and right:
-                sim = similarities([elements_of(r[2]) for r in left], [elements_of(r[2]) for r in right])
-                i, j = np.nonzero(sim >= threshold - 1e-7)
-                yield _edges(forest(i, j, [r[0] for r in left], [r[0] for r in right]), [])
-
-    keys = ["group", "ring", "part", "other_ring", "other_part"]
-    rest = fetch(asked.unionByName(given).select("id", F.struct(*keys, "asks").alias("info"))).select(*(f"info.{k}" for k in keys), "id", "info.asks", "payload").repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(lean(meet), "a long, b long, far double")
+        for (_, one, other), rows in _groups(batches, 3):
+            asking, rest = ([r for r in rows if r[1] == side] for side in (True, False))
+            left = [elements_of(r[2]) for r in asking]
+            right = left if one == other else [elements_of(r[2]) for r in rest]
+            close = similarities(left, right) >= threshold - 1e-7
+            i, j = np.nonzero(np.triu(close, 1) if one == other else close)
+            yield _edges(forest(i, j, [r[0] for r in asking], [r[0] for r in (asking if one == other else rest)]), [])
+
+    keys = ["group", "left", "right"]
+    rest = fetch(asked.unionByName(given).select("id", F.struct(*keys, "asks").alias("info"))).select(*(f"info.{k}" for k in keys), "id", "info.asks", "payload").repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(lean(meet), EDGES)
     return links.unionByName(rest.select("a", "b"))

@@ -193,6 +193,37 @@ def test_line_dedup_is_exact(spark, monkeypatch, cell):
     assert collections.Counter(got[20].kept)["x"] == 0
 
 
+def test_chained_groups_of_near_copies_meet_in_linear_rows(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "CELL", 16)
+    made = {}
+    for copies in (30, 120):  # of each of four unlike bases, with a few lines that are like none of them
+        r = random.Random(12)
+        sets, buckets = [], []
+        for group in range(4):
+            base = [r.getrandbits(62) for _ in range(60)]
+            buckets.append([])
+            for i in range(copies + 5):
+                own = list(base)
+                for place in r.sample(range(60), r.randint(0, 3) if i < copies else 12):
+                    own[place] = r.getrandbits(62)
+                buckets[group].append(len(sets))
+                sets.append(np.unique(np.array(own, dtype=np.uint64)))
+        buckets.append([b[0] for b in buckets])  # this chains all to one cluster
+        met = spark.createDataFrame([(k, i, min(b)) for k, b in enumerate(buckets) for i in b], "bucket long, id long, pivot long")
+        payloads = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(sets)], "id long, payload binary")
+        made[copies] = 0
+
+        def fetch(asked):
+            made[copies] += asked.count()  # noqa: B023
+            return asked.join(payloads, "id")  # noqa: B023
+
+        links = [(x.a, x.b) for x in neardup.linked(met, fetch, lambda x: np.frombuffer(x, dtype=np.uint64), 0.8).collect()]
+        sim = neardup.similarities(sets, sets)
+        assert all(sim[a, b] >= 0.8 - 1e-6 for a, b in links)
+        assert union(len(sets), links) == union(len(sets), zip(*np.nonzero(np.triu(sim >= 0.8 - 1e-6, 1)), strict=True))
+    assert made[120] < 5 * made[30], made
+
+
 def test_crowded_buckets_over_batches():
     import pyarrow as pa
 

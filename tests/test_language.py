@@ -156,3 +156,14 @@ def test_groups_that_are_split(engine, monkeypatch):
 def test_streamstats_resets(engine):
     assert sorted(rows(engine, "source=logs | streamstats reset_before=(status = 500) count() as n | fields id, n")) == [(1, 1), (2, 1), (3, 2), (4, 3), (5, 1)]
     assert sorted(rows(engine, "source=logs | streamstats reset_after=(status = 500) count() as n by host | fields id, n")) == [(1, 1), (2, 1), (3, 2), (4, None), (5, 1)]
+
+
+def test_percentile_approx_of_many_values_is_exact(engine, spark):
+    n = 600_000
+    mixed = spark.range(n, numPartitions=8).selectExpr("id * 7919 % 600000 AS v", "id % 2 AS g")
+    engine.catalog.register("mixed", mixed)
+    assert rows(engine, "source=mixed | stats percentile_approx(v, 50) as a, percentile_approx(v, 33) as b, percentile_approx(v + 1) as c") == [(n // 2 - 1, n * 33 // 100 - 1, n // 2)]
+    odd = n // 4 * 2 - 1  # v is odd where id is
+    assert sorted(rows(engine, "source=mixed | stats percentile_approx(v, 50) as a by g")) == [(0, odd - 1), (1, odd)]
+    assert sorted(rows(engine, "source=mixed | head 5 | eventstats percentile_approx(v, 100) as a | fields a")) == [(7919 * 4,)] * 5
+    assert sorted(rows(engine, "source=mixed | chart percentile_approx(v, 50) as a by g, g | fields g")) == [("0",), ("1",)]

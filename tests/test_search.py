@@ -157,6 +157,28 @@ def test_sparse_search_takes_every_row_divisible_by_20(spark, sf):
     assert got == sorted(want, key=lambda x: x[:2])
 
 
+def test_sparse_search_shuffles_no_scores(spark, monkeypatch):
+    """Blocks of any size give the same rows; ties go to the smaller id, negative, null and repeated entries count."""
+    vectors = [(i, {d: float((i * d) % 7 - 3) for d in range(i % 5, 9, 2)}) for i in range(40)]
+    vectors += [(41, None), (42, {}), (43, {0: None, 2: 2.0}), (7, {8: 3.0}), (44, vectors[3][1]), (45, {99: 1.0})]
+    df = spark.createDataFrame(vectors, "id long, vector map<int,double>")
+    asked = df.where("id % 4 = 0 or id = 45")
+    want = []
+    for q, w in ((q, w) for q, w in vectors if q % 4 == 0 or q == 45):
+        met = [(-sum(x * w[d] for d, x in (v or {}).items() if d in w and x is not None), i) for i, v in vectors if any(d in w and x is not None for d, x in (v or {}).items())]
+        want += [(q, i, -s, r + 1) for r, (s, i) in enumerate(sorted(met)[:6])]
+    got = sparse.top_k_sparse(df, asked, 6)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "HashAggregate" not in plan  # no row for each pair
+    for name, value in (("_ROWS", 4), ("_QUERIES", 3), ("SHARD_ROWS", 8), ("QUERY_BYTES", 300)):  # the last one deals cells
+        monkeypatch.setattr(sparse, name, value)
+        assert sorted(map(tuple, sparse.top_k_sparse(df, asked, 6).collect())) == sorted(want)
+    text = spark.createDataFrame([("b", {0: float("nan")}), ("a", {0: 1.0}), ("c", {0: float("inf")}), ("d", {0: 1.0})], "id string, vector map<int,double>")
+    assert [r.id for r in sparse.top_k_sparse(text, text.where("id = 'a'"), 3).orderBy("rank").collect()] == ["b", "c", "a"]
+    assert sparse.top_k_sparse(df, df.where("id < 0"), 3).count() == 0
+
+
 def test_registry():
     r = udf.Registry()
     for v in ("1.0.0", "1.10.0", "1.2.0"):

@@ -231,6 +231,17 @@ def test_request_without_a_size_takes_all_matches(spark, tmp_path):
         SearchRequest.parse({"size": -1})
 
 
+def test_term_dictionary_counts_ids_once(spark):
+    """In one shuffle of terms, if ids are unique; an id that is repeated counts once, a null one not at all."""
+    catalog = Catalog(spark)
+    for name, rows in (("own", [(1, "a b A"), (2, "b"), (3, None), (4, "")]), ("mixed", [(1, "a b a"), (1, "a c"), (2, "b b"), (None, "a z"), (None, None)])):
+        catalog.register(name, spark.createDataFrame(rows, "id int, text string"), order=["id"], text=TextSettings({"text": "multilingual"}))
+    terms = SearchService(catalog).terms
+    assert sorted(map(tuple, terms("own", "text").collect())) == [("a", 1, 2), ("b", 2, 2)]
+    assert sorted(map(tuple, terms("mixed", "text").collect())) == [("a", 1, 4), ("b", 2, 3), ("c", 1, 1), ("z", 0, 1)]
+    assert terms("own", "text")._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
 def test_bulk(spark, tmp_path):
     writer = IndexWriter(spark, f"{tmp_path}/index")
     text = '{"index": {"_id": "1"}}\n{"a": 1, "b": "x"}\n{"create": {"_id": "2"}}\n{"a": 2}\n{"update": {"_id": "1"}}\n{"doc": {"b": "y"}}\n'

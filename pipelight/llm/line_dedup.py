@@ -34,6 +34,15 @@ THRESHOLD = 0.8
 #: for lines of 8 to 20 shingles, whose bins borrow from each other.
 BANDS, ROWS = 16, 4
 _BUCKETS = [f"b{i}" for i in range(BANDS)]
+#: Places in buckets that a task sorts at once; there are tasks for half as many each.
+MEETING = 1 << 20
+#: Ranges of buckets for each of those tasks, so that hashing deals them out evenly.
+RANGES = 16
+#: Bytes of lines that are hashed at once.
+HASHED = 1 << 15
+
+
+_FIRST = np.array([True])
 
 
 def grams(data: np.ndarray) -> np.ndarray:
@@ -49,17 +58,31 @@ def _shorten(found: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def minhash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, bins: int) -> np.ndarray:
-    """One-permutation MinHash signatures of data[start:end]; empty bins borrow from filled ones."""
-    sizes = ends - starts
-    many = np.maximum(sizes - SHINGLE + 1, 1)
-    first = np.cumsum(many) - many
-    found = grams(data)[np.arange(int(many.sum())) + np.repeat(starts - first, many)]
-    short = np.flatnonzero(sizes < SHINGLE)
-    found[first[short]] = _shorten(found[first[short]], sizes[short])
-    hashes = H.mix(found)
-    slot = (hashes >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)
+    """One-permutation MinHash signatures of data[start:end], none of which overlap; empty bins borrow from filled ones."""
     least = np.full(starts.size * bins, np.iinfo(np.uint64).max, dtype=np.uint64)
-    np.minimum.at(least, slot.astype(np.int64) + np.repeat(np.arange(starts.size) * bins, many), hashes & np.uint64(0xFFFFFFFF))
+    order = np.argsort(starts, kind="stable")
+    at = 0
+    while at < order.size:  # arrays of some HASHED bytes stay in a core's cache
+        to = max(at + 1, int(np.searchsorted(ends[order], starts[order[at]] + HASHED, side="right")))
+        own = order[at:to]
+        begin, end = starts[own], ends[own]
+        low, many = int(begin[0]), np.maximum(end - begin - SHINGLE + 1, 1)
+        found = grams(data[low : int(end[-1]) + SHINGLE])[: int(begin[-1] + many[-1]) - low].copy()
+        short = np.flatnonzero(end - begin < SHINGLE)
+        found[begin[short] - low] = _shorten(found[begin[short] - low], (end - begin)[short])
+        found = H.mix(found)
+        # each place's line; between the last shingle of one and the first of the next there are places of none
+        spans = np.stack([many, np.append(begin[1:], begin[-1] + many[-1]) - begin - many], axis=1).reshape(-1)
+        inside = np.repeat(np.arange(spans.size) % 2 == 0, spans)
+        hashes = found[inside]
+        slot = hashes >> np.uint64(32)
+        slot *= np.uint64(bins)
+        slot >>= np.uint64(32)
+        slot = slot.view(np.int64)
+        slot += np.repeat(own * bins, many)
+        hashes &= np.uint64(0xFFFFFFFF)
+        np.minimum.at(least, slot, hashes)
+        at = to
     table_ = least.reshape(-1, bins)
     # optimal densification: an empty bin takes the value of a bin chosen by hash, the same for all lines
     filled = table_ != np.iinfo(np.uint64).max
@@ -123,7 +146,10 @@ def elements_of(line: bytes) -> np.ndarray:
     """A line's shingles as integers, each once."""
     data = np.frombuffer(line, dtype=np.uint8)
     found = grams(data)[: max(1, data.size - SHINGLE + 1)]
-    return np.unique(_shorten(found, np.array([data.size])) if data.size < SHINGLE else found)
+    if data.size < SHINGLE:
+        return _shorten(found, np.array([data.size]))
+    found = np.sort(found)  # faster than np.unique
+    return found[np.concatenate([_FIRST, found[1:] != found[:-1]])]
 
 
 def crowded(batches):
@@ -147,16 +173,78 @@ def crowded(batches):
             yield pa.record_batch([pa.array(bucket[keep]), pa.array(ids[keep]), pa.array(pivot[keep])], names=["bucket", "id", "pivot"])
 
 
+def dealt(parts: int):
+    """For lines with their buckets: blocks of buckets and of the ids beside them, for each of so many ranges of buckets."""
+
+    def blocks(held):
+        ids = np.concatenate([x for x, _ in held])
+        bucket = np.concatenate([x for _, x in held], axis=1)
+        ids, bucket = np.tile(ids, bucket.shape[0]), bucket.reshape(-1)
+        part = (bucket.view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+        order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
+        ids, bucket = ids[order], bucket[order]
+        ends = np.cumsum(np.bincount(part.astype(np.int64), minlength=parts))
+        whole = np.flatnonzero(np.diff(ends, prepend=0))
+        offsets = np.append(0, ends[whole]) * 8
+        if offsets[-1]:
+            columns = (pa.Array.from_buffers(pa.large_binary(), whole.size, [None, pa.py_buffer(offsets), pa.py_buffer(x)]).cast(pa.binary()) for x in (bucket, ids))
+            yield pa.record_batch([pa.array(whole.astype(np.int32)), *columns], names=["part", "buckets", "ids"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            own = [batch.column(i).to_numpy() for i in range(batch.num_columns)]
+            held.append((own[0], np.stack(own[1:])))
+            n += batch.num_rows * len(own[1:])
+            if n >= MEETING:
+                yield from blocks(held)
+                held, n = [], 0
+        if held:
+            yield from blocks(held)
+
+    return run
+
+
+def met_in(batches):
+    """crowded() of blocks; what is held is a row of each bucket and about MEETING others, however many share a bucket."""
+    bucket = ids = given = np.empty(0, dtype=np.int64)
+
+    def runs():
+        held, n = [], 0
+        for batch in batches:
+            for x, y in zip(batch.column(0), batch.column(1), strict=True):
+                held.append((np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)))
+                n += held[-1][0].size
+                if n >= MEETING:
+                    yield held
+                    held, n = [], 0
+        if held:
+            yield held
+
+    for held in runs():
+        bucket, ids = np.concatenate([bucket, *(x for x, _ in held)]), np.concatenate([ids, *(y for _, y in held)])
+        order = np.argsort(bucket, kind="stable")  # a bucket's earlier row stays its pivot
+        bucket, ids = bucket[order], ids[order]
+        for found in crowded(iter([pa.record_batch([pa.array(bucket), pa.array(ids)], names=["bucket", "id"])])):
+            of, own, pivot = (found.column(i).to_numpy() for i in range(3))
+            yield found.filter(pa.array((own != pivot) | ~np.isin(of, given))) if given.size else found
+            given = np.union1d(given, of)
+        head = np.append(True, bucket[1:] != bucket[:-1])
+        bucket, ids = bucket[head], ids[head]
+
+
 def repeated_lines(own: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(id, component, first) of the lines that occur more than once or are similar to others: id is a
     line's hash and first the (key, place) of the first occurrence of any line of its component."""
     found = own.select("key", F.col("text").cast("binary").alias("text")).mapInArrow(lean(_sign), f"id long, key long, place int, n long, {', '.join(f'{b} long' for b in _BUCKETS)}")
-    # a document is in one run, so a key comes once with an id; plain columns keep this a hash aggregate
-    lines = found.groupBy("id").agg(F.min("key").alias("key"), F.min_by("place", "key").alias("place"), F.sum("n").alias("n"), *(F.first(b).alias(b) for b in _BUCKETS))
+    # a document is in one run, so a key comes once with an id; plain columns keep this a hash aggregate, and max, of equal values, is a column less than first
+    lines = found.groupBy("id").agg(F.min("key").alias("key"), F.min_by("place", "key").alias("place"), F.sum("n").alias("n"), *(F.max(b).alias(b) for b in _BUCKETS))
     lines = cut(lines.select("id", F.struct("key", "place").alias("first"), "n", *_BUCKETS), "lines")
 
-    pairs = lines.select(F.explode(F.array(*_BUCKETS)).alias("bucket"), "id")
-    met = cut(pairs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(crowded), "bucket long, id long, pivot long"), "met")
+    # a bucket is in one task; blocks bring it there, for rows of a bucket and an id would be sixteen for each line
+    tasks = max(1, -(-2 * BANDS * lines.count() // MEETING))
+    blocks = lines.select("id", *_BUCKETS).mapInArrow(lean(dealt(RANGES * tasks)), "part int, buckets binary, ids binary")
+    met = cut(blocks.repartition(tasks, "part").select("buckets", "ids").mapInArrow(lean(met_in), "bucket long, id long, pivot long"), "met")
     wanted = cut(met.select("id").distinct().join(lines.select("id", "first"), "id"), "wanted")
 
     def read(kind):

@@ -51,26 +51,33 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
             for j, b in enumerate(right):
                 out[i, j] = a.size if a is b else np.intersect1d(a, b, assume_unique=True).size
         return out
-    a, b = np.concatenate(left), np.concatenate(right)
-    of_a, of_b = np.repeat(np.arange(len(left)), [x.size for x in left]), np.repeat(np.arange(len(right)), [x.size for x in right])
     if left is right:  # elements of a single item only count for itself
-        values, many = np.unique(a, return_counts=True)
+        values, many = np.unique(np.concatenate(left), return_counts=True)
         shared = values[many > 1]
     else:
-        shared = np.intersect1d(a, b)  # only these count
-    at_a, at_b = np.searchsorted(shared, a), np.searchsorted(shared, b)
-    in_a, in_b = at_a < shared.size, at_b < shared.size
-    in_a[in_a] = shared[at_a[in_a]] == a[in_a]
-    in_b[in_b] = shared[at_b[in_b]] == b[in_b]
-    of_a, at_a, of_b, at_b = of_a[in_a], at_a[in_a], of_b[in_b], at_b[in_b]
-    order_a, order_b = np.argsort(at_a, kind="stable"), np.argsort(at_b, kind="stable")
-    of_a, at_a, of_b, at_b = of_a[order_a], at_a[order_a], of_b[order_b], at_b[order_b]
+        shared = np.intersect1d(np.concatenate(left), np.concatenate(right))  # only these count
+
+    def placed(sets):
+        """Item and place among shared of each shared element, by place."""
+        elements, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [x.size for x in sets])
+        at = np.searchsorted(shared, elements)
+        inside = at < shared.size
+        inside[inside] = shared[at[inside]] == elements[inside]
+        of, at = of[inside], at[inside]
+        order = np.argsort(at, kind="stable")
+        return of[order], at[order]
+
+    def matrix(sets, of, at, start):
+        i, j = np.searchsorted(at, [start, start + COLUMNS])
+        found = np.zeros((len(sets), min(COLUMNS, shared.size - start)), dtype=np.float32)
+        found[of[i:j], at[i:j] - start] = 1
+        return found
+
+    own = placed(left)
+    others = own if left is right else placed(right)
     for start in range(0, shared.size, COLUMNS):
-        (i, j), (k, m) = np.searchsorted(at_a, [start, start + COLUMNS]), np.searchsorted(at_b, [start, start + COLUMNS])
-        x, y = np.zeros((len(left), COLUMNS), dtype=np.float32), np.zeros((len(right), COLUMNS), dtype=np.float32)
-        x[of_a[i:j], at_a[i:j] - start] = 1
-        y[of_b[k:m], at_b[k:m] - start] = 1
-        out += x @ y.T
+        x = matrix(left, *own, start)
+        out += x @ (x if left is right else matrix(right, *others, start)).T
     if left is right:
         np.fill_diagonal(out, [x.size for x in left])
     return out
@@ -84,13 +91,17 @@ def similarities(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def similar(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places of similar pairs among a few sets; for them, hash sets are faster than matrices."""
-    own = [set(x.tolist()) for x in sets]
+    """Places of similar pairs among a few sets; for them, sorting two sets together is faster than matrices."""
     found = []
-    for i, a in enumerate(own):
-        for j in range(i + 1, len(own)):
-            common = len(a & own[j]) if min(len(a), len(own[j])) >= (threshold - 1e-7) * max(len(a), len(own[j])) else 0
-            total = len(a) + len(own[j]) - common
+    for i, a in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            b = sets[j]
+            common = 0
+            if min(a.size, b.size) >= (threshold - 1e-7) * max(a.size, b.size):
+                both = np.concatenate([a, b])
+                both.sort()
+                common = int(np.count_nonzero(both[1:] == both[:-1]))
+            total = a.size + b.size - common
             if not total or common / total >= threshold - 1e-7:
                 found.append((i, j))
     pairs = np.array(found, dtype=np.int64).reshape(-1, 2)

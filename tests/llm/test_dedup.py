@@ -239,6 +239,85 @@ def test_crowded_buckets_over_batches():
         assert sorted(got) == sorted((b, i, by[b][0]) for b in by for i in by[b] if len(by[b]) > 1)
 
 
+@pytest.mark.parametrize("meeting", [1 << 20, 50, 7])
+def test_buckets_meet_in_blocks(monkeypatch, meeting):
+    import pyarrow as pa
+
+    monkeypatch.setattr(line_dedup, "MEETING", meeting)
+    r = random.Random(13)
+    for parts in (1, 3, 200, 70_000):
+        n = 40
+        ids, buckets = [i * 7 - 50 for i in range(n)], [[r.choice([k, -k - 100, (k + 1) << 50, r.getrandbits(64) - (1 << 63)]) for _ in range(n)] for k in range(line_dedup.BANDS)]
+        lines = [pa.record_batch([pa.array(x[a : a + 9], pa.int64()) for x in (ids, *buckets)], names=["id", *line_dedup._BUCKETS]) for a in range(0, n, 9)]
+        dealt = [batch.slice(i, 1) for batch in line_dedup.dealt(parts)(iter(lines)) for i in range(batch.num_rows)]
+        r.shuffle(dealt)
+        want, places = collections.defaultdict(list), collections.defaultdict(set)
+        for k in range(line_dedup.BANDS):
+            for i in range(n):
+                want[buckets[k][i]].append(ids[i])
+        for block in dealt:
+            for bucket in np.frombuffer(block.column("buckets")[0].as_py(), dtype=np.int64).tolist():
+                places[bucket].add(block.column("part")[0].as_py())
+        assert set(places) == set(want) and all(len(x) == 1 and 0 <= min(x) < parts for x in places.values())
+        assert parts > 1 or len(dealt) <= 1 + n * line_dedup.BANDS // min(meeting, 9 * line_dedup.BANDS)
+        got, pivots = collections.defaultdict(list), collections.defaultdict(set)
+        for batch in line_dedup.met_in(block.select(["buckets", "ids"]) for block in dealt):
+            for x in batch.to_pylist():
+                got[x["bucket"]].append(x["id"])
+                pivots[x["bucket"]].add(x["pivot"])
+        assert {b: sorted(x) for b, x in got.items()} == {b: sorted(x) for b, x in want.items() if len(x) > 1}
+        assert all(len(x) == 1 and x <= set(want[b]) for b, x in pivots.items())
+
+
+def test_buckets_are_not_shuffled_row_by_row(spark, tmp_path):
+    from pipelight.llm.common import keyed
+
+    r = random.Random(14)
+    texts = ["\n".join(f"line {i} {r.getrandbits(200):x}" for i in range(20)) for _ in range(100)]
+    texts[50] = texts[3]
+    frame(spark, texts).write.parquet(str(tmp_path / "docs"))
+    seen = []
+    made = line_dedup.cut
+    try:
+        line_dedup.cut = lambda df, name="t": (seen.append((name, df._jdf.queryExecution().optimizedPlan().toString())), made(df, name))[1]
+        found = line_dedup.repeated_lines(keyed(spark.read.parquet(str(tmp_path / "docs")), "doc_id", "text"))
+    finally:
+        line_dedup.cut = made
+    assert found.count() == 20
+    assert "Generate explode" not in dict(seen)["met"]
+
+
+@pytest.mark.parametrize("hashed", [1 << 15, 40, 1])
+def test_minhash_in_runs_of_lines(monkeypatch, hashed):
+    monkeypatch.setattr(line_dedup, "HASHED", hashed, raising=False)
+    r = random.Random(15)
+    for _ in range(60):
+        text = bytes(r.choice(b"ab\n  cde") for _ in range(r.randint(1, 300)))
+        spans = [x for x in line_dedup._lines(text) if x[1] > x[0]]
+        r.shuffle(spans)
+        if spans:
+            begin, end = np.array(spans).T
+            got = line_dedup.minhash(np.frombuffer(text, dtype=np.uint8), begin, end, 64)
+            for (a, b), signature in zip(spans, got, strict=True):
+                alone = line_dedup.minhash(np.frombuffer(text[a:b], dtype=np.uint8), np.array([0]), np.array([b - a]), 64)
+                assert (alone[0] == signature).all()
+            assert all((x == y).all() for i, x in enumerate(got) for j, y in enumerate(got) if text[slice(*spans[i])] == text[slice(*spans[j])])
+
+
+def test_few_and_many_sets_have_the_similarities_of_sets(monkeypatch):
+    r = random.Random(16)
+    for columns in (4096, 3):
+        monkeypatch.setattr(neardup, "COLUMNS", columns)
+        for _ in range(60):
+            left, right = ([np.unique(np.array([r.randrange(12) for _ in range(r.choice([0, 9, 12]))], dtype=np.uint64)) for _ in range(r.randint(0, 9))] for _ in range(2))
+            for other in (left, right):
+                want = [[len(set(a) & set(b)) for b in other] for a in left]
+                assert neardup.overlaps(left, other).tolist() == want
+            ratio = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if len(set(a) | set(b)) else 1
+            got = list(zip(*(x.tolist() for x in neardup.similar(left, 0.8)), strict=True))
+            assert got == [(i, j) for i in range(len(left)) for j in range(i + 1, len(left)) if ratio(left[i], left[j]) >= 0.8 - 1e-7]
+
+
 def test_results_beyond_the_broadcast_limit(spark, monkeypatch):
     from pipelight.llm import common, decontamination
 

@@ -48,6 +48,16 @@ def test_suffix_array_dedup_is_exact(spark, monkeypatch, limit):
         assert (got[i].n_removed, got[i].n_spans, hashlib.sha256(bytes(got[i].kept)).hexdigest()) == (removed, spans, sha), i
 
 
+def test_op5_removes_strings_of_400_bytes_and_no_shorter_passage(spark, tmp_path):
+    r = random.Random(8)
+    short, long = (" ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(67))[:n] for n in (399, 400))
+    assert len(short.split()) > 50 and len(long.split()) > 50
+    texts = [a + p + b for p in (short, long) for a, b in (("x" * 50, "y" * 50), ("z" * 90, ""))]
+    frame(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = suffix_dedup.op5_suffix_array_dedup(spark, str(tmp_path)).sort("doc_id").collect()
+    assert [(x.n_bytes, x.n_removed, x.n_spans) for x in got] == [(499, 0, 0), (489, 0, 0), (500, 400, 1), (490, 400, 1)]
+
+
 @pytest.mark.parametrize("limit", [2000, 2])
 def test_substring_dedup_is_exact(spark, monkeypatch, limit):
     monkeypatch.setattr(windows, "GROUP_LIMIT", limit)
